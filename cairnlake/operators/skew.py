@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Counters of the sketch per requested heavy key. The sketch's count error is below 4 rows in each
@@ -47,11 +47,11 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
         .groupBy("cand")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    total = counted.agg(F.sum("n").alias("total"))
+    # One window over at most 4 / share + 1 rows.
+    total = F.sum("n").over(Window.partitionBy())
     return (
-        counted.where(F.col("cand").isNotNull())
-        .crossJoin(F.broadcast(total))  # a single row
-        .where(F.col("n") >= F.col("total") * F.lit(share))
+        counted.withColumn("total", total)
+        .where(F.col("cand").isNotNull() & (F.col("n") >= F.col("total") * F.lit(share)))
         .select(F.col("cand").alias("key"), "n")
     )
 
