@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; a lost executor never forces the plan above to run again."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    """``df`` written once as a table in the shared checkpoint folder and read again; its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    (df.repartition(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
