@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.llm import packing, quality, tokens
+from cairnlake.llm import boilerplate, packing, quality, tokens
 from cairnlake.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = boilerplate.repeated(table(spark, sf, "html_element"), table(spark, sf, "capture"))
+    return found.select("content_id", "node_index").distinct()
+
+
+def p2_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.repeated(table(spark, sf, "html_element"), table(spark, sf, "capture"))
+
+
+def p2_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.cleaned(table(spark, sf, "html_element"), table(spark, sf, "capture"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
@@ -28,5 +41,32 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(table(spark, sf, "documents"), table(spark, sf, "common_word"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_containers, p9_fill, p10_found, p10_statistics)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_blocks, p2_texts, p8_ids, p9_containers, p9_fill, p10_found, p10_statistics)}
+#: White space of any kind, for DuckDB's regular expressions.
+_SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{1c}-\x{1f}]"
+
+_LINES = rf"""
+WITH el AS (
+  SELECT DISTINCT content_id, node_index, subtree_end_index AS stop, lower(tag) AS tag, text_direct, text FROM html_element
+), body AS (SELECT content_id, node_index AS b0, stop AS b1 FROM el WHERE tag = 'body'),
+own AS (
+  SELECT el.content_id, node_index, stop, text,
+    max(stop) OVER (PARTITION BY el.content_id ORDER BY node_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM el JOIN body ON el.content_id = body.content_id AND node_index > b0 AND node_index < b1
+  WHERE tag NOT IN ('script', 'style') AND regexp_replace(text_direct, '{_SPACE}', '', 'g') <> ''
+), lines AS (
+  SELECT content_id, node_index, lower(trim(regexp_replace(text, '{_SPACE}+', ' ', 'g'))) AS wording
+  FROM own WHERE seen IS NULL OR node_index >= seen
+), site AS (
+  SELECT DISTINCT content_id, lower(regexp_extract(page_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS site FROM capture
+  WHERE content_id IN (SELECT content_id FROM html_element)
+), total AS (SELECT site, count(DISTINCT content_id) AS n FROM site GROUP BY site),
+repeated AS (
+  SELECT site, wording FROM lines JOIN site USING (content_id) JOIN total USING (site)
+  GROUP BY site, wording, n HAVING count(DISTINCT content_id) >= 4 AND 4 * count(DISTINCT content_id) >= n
+)"""
+
+ORACLES = {
+    "p2_found": _LINES + """
+SELECT DISTINCT content_id, node_index FROM lines JOIN site USING (content_id) JOIN repeated USING (site, wording)""",
+}
