@@ -86,9 +86,9 @@ def lines(elements: DataFrame) -> DataFrame:
     return pages.whole_pages(elements).mapInArrow(run, LINES)
 
 
-def sited(per_content: DataFrame, capture: DataFrame) -> DataFrame:
-    """The contents with their site; a content that was captured nowhere has none and is left out."""
-    return per_content.join(pages.content_sites(capture), "content_id")
+def sited(per_content: DataFrame, capture: DataFrame, how: str = "inner") -> DataFrame:
+    """The contents with their site; a content that was captured nowhere has none and is left out by an inner join."""
+    return per_content.join(pages.content_sites(capture), "content_id", how)
 
 
 def supports(contents: DataFrame) -> DataFrame:

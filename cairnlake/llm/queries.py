@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlake.llm import boilerplate, packing, quality, tokens
+from cairnlake.llm import boilerplate, maintext, packing, quality, residue, spam, tokens
+from cairnlake.llm.bodies import bodies
 from cairnlake.sources.tables import table
 
 
@@ -21,6 +22,35 @@ def p2_texts(spark: SparkSession, sf: str) -> DataFrame:
     return boilerplate.cleaned(table(spark, sf, "html_element"), table(spark, sf, "capture"))
 
 
+def _bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return bodies(table(spark, sf, "html_element"), table(spark, sf, "capture"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return maintext.found(_bodies(spark, sf))
+
+
+def p3_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``content_id, node_index, tag, text`` of every page's own lines, residue and spam included."""
+    return maintext.own_lines(_bodies(spark, sf))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.found(_bodies(spark, sf))
+
+
+def p4_slots(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.slots(_bodies(spark, sf))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spam.found(_bodies(spark, sf), table(spark, sf, "capture"))
+
+
+def p6_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return spam.scores(_bodies(spark, sf))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"))
 
@@ -41,7 +71,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(table(spark, sf, "documents"), table(spark, sf, "common_word"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_blocks, p2_texts, p8_ids, p9_containers, p9_fill, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_blocks, p2_texts, p3_found, p3_texts, p4_found, p4_slots, p6_found, p6_scores, p8_ids, p9_containers, p9_fill, p10_found, p10_statistics)}
 #: White space of any kind, for DuckDB's regular expressions.
 _SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{1c}-\x{1f}]"
 
