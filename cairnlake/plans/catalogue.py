@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlake.plans import pipeline, relational
+from cairnlake.plans import analytics, pipeline, relational, streams
 
-MODULES = (pipeline, relational)
+MODULES = (pipeline, analytics, relational, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
-FLAGSHIP = pipeline.p5_found
+FLAGSHIP = analytics.ref_search
