@@ -42,6 +42,7 @@ _DATE = re.compile(
     rf"^(?:[^\W\d_]+[,:]? )?(?:\d{{1,2}}[.,]? (?:de )?{_MONTHS}(?: de)? \d{{4}}|{_MONTHS} \d{{1,2}},? \d{{4}}|\d{{4}}-\d\d-\d\d|\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}})(?:[ t,]+\d{{1,2}}:\d\d.*)?$"
 )
 _LETTER, _DIGIT, _SMALL = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"\b[a-zß-ÿ][\w’'-]*")
+_ALNUM = re.compile(r"[^\W_]")
 _STOPS = tuple(".?!…:»”\"'")
 
 STRUCTURE = (
@@ -201,6 +202,11 @@ def _bodies(b: pa.RecordBatch, quiet: dict[str, tuple[bool, bool]]) -> pa.Record
     kind[weak] = PROMPT
     kind[weak & soft] = NOTICE
     kind[hard & ~heading & ~np.isin(tags.astype(str), list(CELLS))] = REPEATED
+    # Separators between paragraphs are the piece's own, however often the site sets them.
+    for i in np.flatnonzero(within & (kind == REPEATED) & ~link[rows] & (tags.astype(str) != "span")):
+        w = text[int(i)].as_py()
+        if len(w) < 40 and not _ALNUM.search(w):
+            kind[i] = OWN
     kind[(head[of] >= 0) & (rows < head[of])] = BEFORE
     # Containers inside the main body that hold mostly such lines: bars to share, letters to order.
     holder = f.up[rows]
