@@ -12,15 +12,15 @@ ERROR_PHRASES = (
     r"could not be found", r"\bnot found\b", r"no longer available", r"too many requests", r"unexpected end of response",
     r"handle \S+ is gone", r"try again later", r"we looked everywhere", r"leads nowhere", r"^0 results\b", r"nothing to see at this address",
     r"went wrong on our side", r"account has been suspended", r"session has expired", r"sign in again", r"is denied for your network",
-    r"^access (?:to \S+ is )?denied", r"down for maintenance", r"^index of \S+ cannot be shown", r"did not answer in time", r"^fatal\b",
+    r"^access (?:to \S+ is )?denied", r"down for maintenance", r"^index of \S+ cannot be shown", r"did not answer in time", r"server \S+ (?:did|does|is) not (?:answer|respond)", r"^fatal\b",
     r"call to undefined", r"internal server error", r"service unavailable", r"bad gateway", r"^forbidden", r"traceback", r"^at \S+\.\S+ \(\S+:\d+\)",
     r"unhandled exception", r"page (?:you requested )?does not exist",
     r"wurde nicht gefunden", r"nicht gefunden werden", r"zugriff auf \S+ verweigert", r"zurzeit nicht erreichbar", r"wegen wartung",
-    r"fehler aufgetreten", r"gibt es nicht mehr", r"sitzung ist abgelaufen", r"zu viele anfragen", r"nicht mehr verfügbar",
+    r"fehler aufgetreten", r"gibt es nicht mehr", r"sitzung ist abgelaufen", r"zu viele anfragen", r"server \S+ antwortet nicht", r"nicht mehr verfügbar",
     r"no se encontró", r"no se ha encontrado", r"error interno", r"acceso denegado", r"en mantenimiento", r"ya no está disponible",
-    r"su sesión ha caducado", r"demasiadas solicitudes",
+    r"su sesión ha caducado", r"demasiadas solicitudes", r"servidor \S+ no responde",
     r"\bintrouvable", r"accès refusé", r"une erreur est survenue", r"en maintenance", r"n[’']est plus disponible", r"n[’']existe plus",
-    r"session a expiré", r"trop de requêtes",
+    r"session a expiré", r"trop de requêtes", r"serveur \S+ ne répond pas",
 )
 # Notices that scripts, a check or another browser is required.
 SCRIPT_PHRASES = (

@@ -125,6 +125,8 @@ def line_rows(f: Forest) -> np.ndarray:
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Characters a first-level heading counts for besides its own.
 HEADLINE_WEIGHT = 300.0
+#: Characters besides the headline by which its container speaks for itself.
+OPENED_CHARACTERS = 40
 
 
 def main_body(f: Forest, noise: np.ndarray, title: np.ndarray) -> np.ndarray:
@@ -184,11 +186,11 @@ def main_body(f: Forest, noise: np.ndarray, title: np.ndarray) -> np.ndarray:
         good = lacks & (wide >= 0)
         good[good] = ~body_rows[wide[good]] & (density[wide[good]] >= least[good])
         wide = np.where(lacks & ~good, -1, wide)
-    # Where the headline opens a container that holds as much as half of that body, its container is the body.
+    # Where the headline opens a container with more to it than itself, that container is the body.
     opened = np.where(first >= 0, f.up[np.maximum(first, 0)], -1)
     o, w = np.maximum(opened, 0), np.maximum(best, 0)
     apart = (opened >= 0) & (best >= 0) & ~((first >= w) & (first < f.stop[w])) & ~body_rows[o]
-    apart &= chars[o] - f.own[np.maximum(first, 0)] >= 0.5 * chars[w]
+    apart &= chars[o] - f.own[np.maximum(first, 0)] >= np.minimum(0.5 * chars[w], OPENED_CHARACTERS)
     wide = np.where(apart, opened, wide)
     has = (wide >= 0) & (first >= 0)
     out[has] = wide[has]
