@@ -20,6 +20,7 @@ from cairnlake.llm.bodies import OWN, REPEATED
 from cairnlake.llm.boilerplate import wording
 from cairnlake.llm.lexicon import PLACE, says_nothing
 from cairnlake.llm.pages import HEADINGS
+from cairnlake.session import written
 
 #: Share of a main body's characters that say nothing, from which the page is a case.
 NOTHING_SHARE = 0.5
@@ -78,7 +79,7 @@ def found(bodies: DataFrame) -> DataFrame:
     Contents without lines are no cases. Quoted messages, samples in code and a single place in a sentence are none
     either. A template that many sites share counts only where part of it says nothing.
     """
-    s = slots(bodies)
+    s = written(slots(bodies), "slots")  # read three times below
     own = (F.col("places") >= PLACES_FROM) | F.col("in_heading") | (F.col("nothing") >= NOTHING_SHARE)
     partly = s.where((F.col("template") != 0) & (F.col("nothing") >= NOTHING_SHARE / 2))
     shared = partly.groupBy("template").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= TEMPLATE_SITES)
