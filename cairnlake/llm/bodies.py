@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm import pages
-from cairnlake.llm.boilerplate import LEAST_CONTENTS, LEAST_SHARE, Wordings, _lists, sited, totals, wording
+from cairnlake.llm.boilerplate import LEAST_CONTENTS, LEAST_SHARE, Wordings, _lists, totals, wording
 from cairnlake.llm.lexicon import says_nothing
 from cairnlake.session import cut, written
 
@@ -46,13 +46,18 @@ _ALNUM = re.compile(r"[^\W_]")
 _STOPS = tuple(".?!…:»”\"'")
 
 STRUCTURE = (
-    "content_id string, node array<int>, up array<int>, stop array<int>, tag array<string>, own array<int>, "
+    "content_id string, site string, node array<int>, up array<int>, stop array<int>, tag array<string>, own array<int>, "
     "line array<int>, text array<string>, h array<bigint>, frame array<bigint>, titled array<boolean>"
 )
 
 
-def structures(elements: DataFrame) -> DataFrame:
-    """One row per content: the element tree in document order, and the lines with their hashes."""
+def structures(elements: DataFrame, capture: DataFrame) -> DataFrame:
+    """One row per content and site: the element tree in document order, and the lines with their hashes.
+
+    The site (null for a content without capture) is joined to the gathered pages while they lie by content, so the
+    texts are shuffled once.
+    """
+    gathered = pages.whole_pages(elements).join(pages.content_sites(capture), "content_id", "left").select("content_id", "e", "site")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Wordings()
@@ -78,13 +83,13 @@ def structures(elements: DataFrame) -> DataFrame:
                 tag = pa.DictionaryArray.from_arrays(pa.array(f.tag), pa.array(f.tags, pa.string())).cast(pa.string())
                 i32 = lambda x: pa.array(x.astype(np.int32))
                 columns = [
-                    b.column(0), _lists(base, i32(f.node)), _lists(base, i32(np.where(f.up < 0, -1, f.up - first))), _lists(base, i32(f.stop - first)),
+                    b.column(0), b.column(2), _lists(base, i32(f.node)), _lists(base, i32(np.where(f.up < 0, -1, f.up - first))), _lists(base, i32(f.stop - first)),
                     _lists(base, tag), _lists(base, i32(f.own)), _lists(mine, i32(rows - first[rows])), _lists(mine, text), _lists(mine, pa.array(h)),
                     _lists(mine, pa.array(frame)), _lists(mine, pa.array(titled.astype(bool))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["content_id", "node", "up", "stop", "tag", "own", "line", "text", "h", "frame", "titled"])
+                yield pa.RecordBatch.from_arrays(columns, names=["content_id", "site", "node", "up", "stop", "tag", "own", "line", "text", "h", "frame", "titled"])
 
-    return pages.whole_pages(elements).mapInArrow(run, STRUCTURE)
+    return gathered.mapInArrow(run, STRUCTURE)
 
 
 def site_words(contents: DataFrame) -> DataFrame:
@@ -241,7 +246,7 @@ def bodies(elements: DataFrame, capture: DataFrame) -> DataFrame:
     ``kind`` says for each line whether it is the page's own or why not. A content without capture has a null site
     and no repeated lines; one without lines has empty arrays. The table is written once to the shared folder.
     """
-    contents = written(sited(structures(elements), capture, "left"), "structures")
+    contents = written(structures(elements, capture), "structures")
     words = site_words(contents.where("site IS NOT NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,9 +86,9 @@ def lines(elements: DataFrame) -> DataFrame:
     return pages.whole_pages(elements).mapInArrow(run, LINES)
 
 
-def sited(per_content: DataFrame, capture: DataFrame, how: str = "inner") -> DataFrame:
-    """The contents with their site; a content that was captured nowhere has none and is left out by an inner join."""
-    return per_content.join(pages.content_sites(capture), "content_id", how)
+def sited(per_content: DataFrame, capture: DataFrame) -> DataFrame:
+    """The contents with their site; a content that was captured nowhere has none and is left out."""
+    return per_content.join(pages.content_sites(capture), "content_id")
 
 
 def supports(contents: DataFrame) -> DataFrame:
@@ -178,10 +178,10 @@ def cleaned(elements: DataFrame, capture: DataFrame) -> DataFrame:
                 h = np.fromiter((memo[t][0] for t in text), np.int64, len(text))
                 offsets = np.searchsorted(f.page[rows], np.arange(f.pages + 1))
                 plain = pa.array([" ".join(t.split()) for t in text], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(offsets, pa.array(h)), _lists(offsets, plain)], names=["content_id", "h", "t"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _lists(offsets, pa.array(h)), _lists(offsets, plain)], names=["content_id", "site", "h", "t"])
 
-    full = pages.whole_pages(elements).mapInArrow(run, "content_id string, h array<bigint>, t array<string>").join(sites, "content_id", "left")
-    contents = written(full, "site-texts")
+    gathered = pages.whole_pages(elements).join(sites, "content_id", "left").select("content_id", "e", "site")
+    contents = written(gathered.mapInArrow(run, "content_id string, site string, h array<bigint>, t array<string>"), "site-texts")
     marked = contents.join(blocks(contents.where("site IS NOT NULL")), "site", "left")
     left = F.expr("filter(t, (x, k) -> words IS NULL OR array_position(words, h[k]) = 0)")
     return marked.select("content_id", "site", F.array_join(left, "\n").alias("text"))
