@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -319,7 +320,7 @@ class Engine:
         except QueryError as e:
             state = e.code
             raise
-        except PySparkException as e:
+        except (PySparkException, Py4JError) as e:
             over = time.time() - began >= limits.max_seconds
             text = str(e)
             state = "resource_limit" if over else "helper_limit" if "accepts at most" in text else "query_failed"

@@ -114,3 +114,41 @@ def test_search(spark):
     t.createOrReplaceTempView("html_terms")
     spark.sql(views.SEARCH_SQL)
     assert {(r.content_id, r.score) for r in spark.sql("SELECT * FROM search(array('a', 'b', null))").collect()} == {("c1", 2.0), ("c2", 1.0)}
+
+
+def test_dbapi_history_and_cases(engine, spark):
+    from cairnlake.plans import cases, dbapi, history
+
+    with dbapi.connect(engine) as c:
+        cur = c.cursor().execute("SELECT node_index, tag FROM html_element WHERE node_index < ? ORDER BY node_index", [3])
+        assert cur.fetchone() == (0, "p") and cur.fetchall() == [(1, "p"), (2, "p")] and cur.fetchone() is None
+        assert [d[0] for d in cur.description] == ["node_index", "tag"] and cur.rowcount == 3
+        with pytest.raises(dbapi.ProgrammingError):
+            cur.execute("DROP TABLE x")
+    e = history.executions(spark, engine.history)
+    s = history.statistics(e).first()
+    assert s.executions == len(engine.history) and s.failures >= 1
+    assert history.trend(e).count() == 1 and {r.state for r in history.failures(e).collect()} >= {"sql_invalid"}
+    assert history.patterns(e, 2).count() == 2
+    out = cases.run(engine, cases.Case("x", "SELECT tag, count(*) AS n FROM html_element GROUP BY tag", "SELECT 'p' AS tag, count(*) AS n FROM html_element"))
+    assert out["equal"] and not cases.run(engine, cases.Case("y", "SELECT 1 AS a", "SELECT 2 AS a"), 1)["equal"]
+
+
+def test_urls(engine, spark):
+    spark.createDataFrame([("HTTP://A.example#x",), ("http://a.example/",), ("nonsense",), ("https://b.example/p",)], "url string").createOrReplaceTempView("page")
+    e = Engine(spark, ["page"])
+    assert e.urls("SELECT url FROM page WHERE url NOT LIKE 'x%' ORDER BY url", 5) == ["http://a.example/", "https://b.example/p"]
+    with pytest.raises(QueryError):
+        e.urls("SELECT url AS u FROM page", 5)
+    with pytest.raises(QueryError):
+        e.urls("SELECT url FROM page", 1)
+
+
+def test_deadline(engine, spark):
+    from pyspark.sql import functions as F
+
+    spark.range(4).select((F.col("id") % 2).alias("tag")).createOrReplaceTempView("slow")
+    e = Engine(spark, ["slow"], limits=Limits(max_seconds=1.0))
+    with pytest.raises(QueryError) as x:
+        e.execute("SELECT count(*) FROM slow a, (SELECT explode(sequence(1, 40000)) AS i) b, (SELECT explode(sequence(1, 40000)) AS j) c WHERE a.tag + i * j % 7 = 3")
+    assert x.value.code == "resource_limit"
