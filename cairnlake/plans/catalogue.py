@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlake.plans import analytics, pipeline, relational, streams
+from cairnlake.plans import analytics, pipeline, relational, streams, workload
 
-MODULES = (pipeline, analytics, relational, streams)
+MODULES = (pipeline, analytics, relational, streams, workload)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = analytics.ref_search
