@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm import pages
-from cairnlake.llm.boilerplate import LEAST_CONTENTS, LEAST_SHARE, Wordings, _lists, totals, wording
+from cairnlake.llm.boilerplate import LEAST_CONTENTS, LEAST_SHARE, Wordings, _lists, totals, with_site, wording
 from cairnlake.llm.lexicon import says_nothing
 from cairnlake.session import cut, written
 
@@ -257,4 +257,4 @@ def bodies(elements: DataFrame, capture: DataFrame) -> DataFrame:
                     quiet.clear()
                 yield _bodies(big.slice(at, pages.PAGES_PER_BATCH), quiet)
 
-    return written(contents.join(words, "site", "left").mapInArrow(run, BODY), "bodies")
+    return written(with_site(contents, words, "left").mapInArrow(run, BODY), "bodies")

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm import pages
-from cairnlake.session import written
+from cairnlake.session import cut, written
 
 #: A wording is repeated excessively from so many contents of its site ...
 LEAST_CONTENTS = 4
 #: ... and this share of the site's contents.
 LEAST_SHARE = 0.25
+#: A site is hot from this part of all contents; there are at most so many, and each is spread over as many salts at most.
+HOT_PARTS = 200
 #: Wordings a process remembers before the memo is emptied.
 MEMO = 200_000
 
@@ -110,6 +112,21 @@ def totals(contents: DataFrame) -> DataFrame:
     return contents.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
 
 
+def with_site(contents: DataFrame, words: DataFrame, how: str) -> DataFrame:
+    """Contents joined to the one row of their site, hot sites salted.
+
+    A site with a part of 1 / ``HOT_PARTS`` of all contents is spread over salts in proportion to its size, and its row
+    is repeated for each: no task meets more than about that part, whatever the site holds. The hot sites (at most
+    ``HOT_PARTS`` rows) are broadcast.
+    """
+    total = cut(totals(contents.where("site IS NOT NULL")))
+    n = total.agg(F.sum("total")).first()[0] or 0
+    hot = total.where(F.col("total") * HOT_PARTS >= n).select("site", F.ceil(F.col("total") * HOT_PARTS / F.lit(max(n, 1))).cast("int").alias("_salts"))
+    left = contents.join(F.broadcast(hot), "site", "left").withColumn("_salt", F.pmod(F.xxhash64("content_id"), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    spread = words.join(F.broadcast(hot), "site", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.coalesce("_salts", F.lit(1)) - 1).cast("bigint")))).drop("_salts")
+    return left.join(spread, ["site", "_salt"], how).drop("_salt")
+
+
 def _components(site: tuple, g: pd.DataFrame) -> pd.DataFrame:
     """Connected components of a site's kept graph by union-find; a block is named by its least wording hash."""
     nodes = g.loc[g.b.isna(), "a"].tolist()
@@ -151,7 +168,7 @@ def repeated(elements: DataFrame, capture: DataFrame) -> DataFrame:
     Contents without a capture belong to no site and give no rows; a null text is no line. Empty tables give none.
     """
     contents = written(sited(lines(elements), capture), "site-lines")
-    found = contents.join(blocks(contents), "site").select(
+    found = with_site(contents, blocks(contents), "inner").select(
         "content_id",
         "site",
         F.inline(F.expr("filter(transform(node, (x, k) -> named_struct('node_index', x, 'at', array_position(words, h[k]))), z -> z.at > 0)")),
@@ -182,6 +199,6 @@ def cleaned(elements: DataFrame, capture: DataFrame) -> DataFrame:
 
     gathered = pages.whole_pages(elements).join(sites, "content_id", "left").select("content_id", "e", "site")
     contents = written(gathered.mapInArrow(run, "content_id string, site string, h array<bigint>, t array<string>"), "site-texts")
-    marked = contents.join(blocks(contents.where("site IS NOT NULL")), "site", "left")
+    marked = with_site(contents, blocks(contents.where("site IS NOT NULL")), "left")
     left = F.expr("filter(t, (x, k) -> words IS NULL OR array_position(words, h[k]) = 0)")
     return marked.select("content_id", "site", F.array_join(left, "\n").alias("text"))
