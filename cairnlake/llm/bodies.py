@@ -33,10 +33,12 @@ FRAME_SITES_SHARE = 0.01
 FRAME_SHARE = 0.02
 
 # Kinds of lines in a main body.
-OWN, REPEATED, NOTICE, PROMPT, DATE, BEFORE, SHARE = range(7)
+OWN, REPEATED, NOTICE, PROMPT, DATE, BEFORE, SHARE, BLANK = range(8)
 #: Tags whose repeated lines may still be the page's own, as subheadings or cells are.
 CELLS = frozenset(("td", "th", "dt", "dd"))
 KEEP_SOFT = CELLS | {"li", "blockquote", "figcaption", "code", "pre", "caption", *pages.HEADINGS}
+#: Tags that hold a value of the page, and are blank where it is missing.
+VALUES = ("p", "li", "td", "dd", "blockquote", "figcaption", *pages.HEADINGS)
 _MONTHS = r"[^\W\d_]{3,10}\.?"
 _DATE = re.compile(
     rf"^(?:[^\W\d_]+[,:]? )?(?:\d{{1,2}}[.,]? (?:de )?{_MONTHS}(?: de)? \d{{4}}|{_MONTHS} \d{{1,2}},? \d{{4}}|\d{{4}}-\d\d-\d\d|\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}})(?:[ t,]+\d{{1,2}}:\d\d.*)?$"
@@ -47,7 +49,7 @@ _STOPS = tuple(".?!…:»”\"'")
 
 STRUCTURE = (
     "content_id string, site string, node array<int>, up array<int>, stop array<int>, tag array<string>, own array<int>, "
-    "line array<int>, text array<string>, h array<bigint>, frame array<bigint>, titled array<boolean>"
+    "line array<int>, text array<string>, h array<bigint>, frame array<bigint>, titled array<boolean>, page bigint"
 )
 
 
@@ -57,7 +59,8 @@ def structures(elements: DataFrame, capture: DataFrame) -> DataFrame:
     The site (null for a content without capture) is joined to the gathered pages while they lie by content, so the
     texts are shuffled once.
     """
-    gathered = pages.whole_pages(elements).join(pages.content_sites(capture), "content_id", "left").select("content_id", "e", "site")
+    gathered = pages.whole_pages(elements).join(pages.content_pages(capture), "content_id", "left")
+    gathered = gathered.select("content_id", "e", "site", F.coalesce("page", F.xxhash64("content_id")).alias("page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Wordings()
@@ -85,9 +88,9 @@ def structures(elements: DataFrame, capture: DataFrame) -> DataFrame:
                 columns = [
                     b.column(0), b.column(2), _lists(base, i32(f.node)), _lists(base, i32(np.where(f.up < 0, -1, f.up - first))), _lists(base, i32(f.stop - first)),
                     _lists(base, tag), _lists(base, i32(f.own)), _lists(mine, i32(rows - first[rows])), _lists(mine, text), _lists(mine, pa.array(h)),
-                    _lists(mine, pa.array(frame)), _lists(mine, pa.array(titled.astype(bool))),
+                    _lists(mine, pa.array(frame)), _lists(mine, pa.array(titled.astype(bool))), b.column(3),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["content_id", "site", "node", "up", "stop", "tag", "own", "line", "text", "h", "frame", "titled"])
+                yield pa.RecordBatch.from_arrays(columns, names=["content_id", "site", "node", "up", "stop", "tag", "own", "line", "text", "h", "frame", "titled", "page"])
 
     return gathered.mapInArrow(run, STRUCTURE)
 
@@ -119,7 +122,7 @@ def site_words(contents: DataFrame) -> DataFrame:
     return words.join(frames, "site", "full")
 
 
-BODY = "content_id string, site string, node array<int>, tag array<string>, text array<string>, kind array<int>"
+BODY = "content_id string, site string, node array<int>, tag array<string>, text array<string>, kind array<int>, page bigint"
 
 
 def _forest(b: pa.RecordBatch) -> tuple[pages.Forest, np.ndarray, np.ndarray]:
@@ -234,17 +237,28 @@ def _bodies(b: pa.RecordBatch, quiet: dict[str, tuple[bool, bool]]) -> pa.Record
                 kind[i] = DATE
             elif 0 < i - place[i] <= 3 and tags[i] in ("span", "div", "p", "small", "address") and plain.count(" ") < 8 and plain[-1:] not in _STOPS and _LETTER.search(plain) and not says_nothing(plain):
                 kind[i] = PROMPT
-    offsets = np.searchsorted(of[at], np.arange(f.pages + 1))
-    tag_column = pa.array(tags[at].tolist(), pa.string())
-    lists = [pa.array(f.node[rows[at]].astype(np.int32)), tag_column, words, pa.array(kind[at].astype(np.int32))]
-    return pa.RecordBatch.from_arrays([column("content_id"), column("site"), *[_lists(offsets, x) for x in lists]], names=["content_id", "site", "node", "tag", "text", "kind"])
+    # Leaves that would hold a value and are blank stand among the lines, with an empty text.
+    leaf = f.is_tag(*VALUES) & (f.own == 0) & (f.stop == np.arange(len(f.page)) + 1) & ~f.inside(f.is_tag("a", "button"))
+    leaf[rows] = False
+    leaf &= (main[f.page] >= 0) & (np.arange(len(f.page)) > main[f.page]) & (np.arange(len(f.page)) < f.stop[np.maximum(main[f.page], 0)])
+    blank = np.flatnonzero(leaf)
+    row = np.concatenate([rows[at], blank])
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    words = pa.concat_arrays([words, pa.array([""] * len(blank), words.type)]).take(pa.array(order))
+    kinds = np.concatenate([kind[at], np.full(len(blank), BLANK)])[order]
+    offsets = np.searchsorted(f.page[row], np.arange(f.pages + 1))
+    tag_column = pa.array([f.tags[k] for k in f.tag[row]], pa.string())
+    lists = [pa.array(f.node[row].astype(np.int32)), tag_column, words, pa.array(kinds.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([column("content_id"), column("site"), *[_lists(offsets, x) for x in lists], column("page")], names=["content_id", "site", "node", "tag", "text", "kind", "page"])
 
 
 def bodies(elements: DataFrame, capture: DataFrame) -> DataFrame:
-    """``content_id, site, node, tag, text, kind``: the lines of each content's main body, in document order.
+    """``content_id, site, node, tag, text, kind, page``: the lines of each content's main body, in document order.
 
     ``kind`` says for each line whether it is the page's own or why not. A content without capture has a null site
-    and no repeated lines; one without lines has empty arrays. The table is written once to the shared folder.
+    and no repeated lines; one without lines has empty arrays. Blank leaves of the body are of kind ``BLANK``. ``page``
+    is one for all contents of an address. The table is written once to the shared folder.
     """
     contents = written(structures(elements, capture), "structures")
     words = site_words(contents.where("site IS NOT NULL"))

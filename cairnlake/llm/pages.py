@@ -34,6 +34,14 @@ def content_sites(capture: DataFrame) -> DataFrame:
     return pairs.where("content_id IS NOT NULL AND site IS NOT NULL").distinct()
 
 
+def content_pages(capture: DataFrame) -> DataFrame:
+    """``content_id, site, page`` of each content and host: ``page`` is a hash of its address without query and
+    fragment, the least where it has several. Contents of one address are one page that was captured again."""
+    address = F.xxhash64(F.lower(F.regexp_replace(F.regexp_replace("page_url", r"[?#].*$", ""), r"/+\s*$", "")))
+    pairs = capture.select("content_id", site_of(F.col("page_url")).alias("site"), address.alias("page"))
+    return pairs.where("content_id IS NOT NULL AND site IS NOT NULL").groupBy("content_id", "site").agg(F.min("page").alias("page"))
+
+
 def whole_pages(elements: DataFrame) -> DataFrame:
     """``content_id`` and ``e``, the array of the distinct elements of each content, in no order.
 

@@ -1,14 +1,15 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-The pages of a site follow one template; aligned by their repeated lines, what differs between them are the template's
-slots, and the lines of a main body that the site does not repeat are the slots' values. A slot is flagged if it
-retains variable names, a default text or a blank drone. Beside them stand whole-page templates: main bodies that are
-the same, names and numbers aside, on pages of several sites, and say no more than an error or a notice.
+The pages of a site follow one template; aligned by place, masked text and label, the lines of their main bodies are
+the values of the template's slots. How the pages of the site fill a slot tells its defaults and blanks; variable names
+and known phrases are checked in each value. Beside them stand whole-page templates: main bodies that are the same,
+names and numbers aside, on several pages of several sites, or as they are on many pages of one.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.bodies import OWN, REPEATED
+from cairnlake.llm.bodies import BEFORE, DATE, OWN, REPEATED, SHARE
 from cairnlake.llm.boilerplate import wording
 from cairnlake.llm.lexicon import PLACE, says_nothing
 from cairnlake.llm.pages import HEADINGS
@@ -28,60 +29,155 @@ NOTHING_SHARE = 0.5
 PLACES_FROM = 2
 #: Sites on which a whole-page template stands.
 TEMPLATE_SITES = 3
+#: Pages of each of them on which one stands that no phrase is known from, and of a single site.
+TEMPLATE_PAGES, LOCAL_PAGES = 3, 10
+#: Share of a template's letters that are not masked; below it the pages are different records of one form.
+FIXED_SHARE = 0.5
+#: A slot says something about its values from so many records; a value on so many pages may be its default.
+SLOT_RECORDS, DEFAULT_PAGES = 8, 4
+#: A label before a colon is shorter.
+LABEL_CHARACTERS = 40
 
 #: Tags that show a sample.
 SAMPLES = frozenset(("code", "pre", "kbd", "samp", "textarea"))
 _VARIES = re.compile(r"/\S+|\d[\d.,]*|\b[^\W\d_a-zß-ÿ][\w’'-]*")
+_LETTERS = re.compile(r"[^\W\d_]")
 
-SLOTS = "content_id string, site string, places int, in_heading boolean, nothing double, template bigint"
+UNIT = "array<struct<line:int,slot:bigint,value:bigint,size:int>>"
+VALUES = f"content_id string, site string, page bigint, places int, in_heading boolean, empty int, total int, template bigint, fixed double, whole bigint, units {UNIT}"
+#: The value of a blank slot.
+NONE = 0
 
 
-def page_slots(tags: list[str], texts: list[str], kinds: list[int]) -> tuple[int, bool, float, int]:
-    """Slots with variable names outside of samples, whether one is in a heading, the share that says nothing, and
-    the hash of the masked body."""
-    places, heading, empty, total, masked = 0, False, 0, 0, []
-    for tag, text, kind in zip(tags, texts, kinds):
-        if tag == "a" or kind == REPEATED and not says_nothing(wording(text)):
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def page_slots(tags: list[str], texts: list[str], kinds: list[int]) -> tuple[int, bool, int, int, int, float, int, list[dict]]:
+    """Slots with variable names outside of samples, whether one is in a heading; the characters that say nothing and
+    all that count; the hash of the masked body, the share of its letters that are not masked, the hash of the body as
+    it stands; and the values of the slots.
+
+    A line stands in the slot of its place (its tag, and the how-manieth of that tag), in that of its masked text, and
+    in that of its label before a colon.
+    """
+    places, heading, empty, total, units = 0, False, 0, 0, []
+    own, every, at = [], [], Counter()
+    for k, (tag, text, kind) in enumerate(zip(tags, texts, kinds)):
+        if tag == "a" or kind in (BEFORE, SHARE, DATE):
             continue
-        plain = wording(text)
+        plain, at[tag] = wording(text), at[tag] + 1
+        place = _hash(f"place {tag} {at[tag]}")
         if not plain:
+            units.append({"line": k, "slot": place, "value": NONE, "size": 0})
             continue
-        total += len(plain)
-        if tag not in SAMPLES and PLACE.search(plain):
+        size = 0 if kind == REPEATED and not says_nothing(plain) else len(plain)
+        nothing = 0
+        total += size
+        if size and tag not in SAMPLES and PLACE.search(plain):
             places += 1
             heading |= tag in HEADINGS
             if not PLACE.sub("", plain).strip(" .,:;!?"):
-                empty += len(plain)
-        elif says_nothing(plain):
-            empty += len(plain)
+                nothing = size
+        elif size and says_nothing(plain):
+            nothing = size
+        empty += nothing
+        line = _VARIES.sub("*", " ".join(text.split())).lower()
+        every.append((line, plain))
         if kind == OWN:
-            masked.append(_VARIES.sub("*", " ".join(text.split())).lower())
-    template = xxhash.xxh64_intdigest("\n".join(masked)) - (1 << 63) if masked else 0
-    return places, heading, empty / total if total else 0.0, template
-
-
-def slots(bodies: DataFrame) -> DataFrame:
-    """``content_id, site, places, in_heading, nothing, template`` of each main body; a narrow pass over the bodies."""
+            own.append((line, plain))
+        if tag in SAMPLES or nothing:
+            continue
+        value = _hash(plain)
+        units.append({"line": k, "slot": place, "value": value, "size": len(plain)})
+        if "*" in line and _LETTERS.search(line):
+            units.append({"line": k, "slot": _hash(f"text {line}"), "value": value, "size": len(plain)})
+        label, colon, rest = plain.partition(":")
+        if colon and len(label) < LABEL_CHARACTERS:
+            units.append({"line": k, "slot": _hash(f"label {label}"), "value": value if rest.strip() else NONE, "size": len(plain)})
+    both = own or every
+    letters = sum(len(_LETTERS.findall(x)) for _, x in both)
+    fixed = sum(len(_LETTERS.findall(x)) for x, _ in both) / letters if letters else 0.0
+    template, whole = (_hash("\n".join(x)) for x in zip(*both)) if both else (0, 0)
+    return places, heading, empty, total, template, fixed, whole, units
+
+
+def slot_values(bodies: DataFrame) -> DataFrame:
+    """The slots of each main body and their values, one row per body; a narrow pass over the bodies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("line", pa.int32()), ("slot", pa.int64()), ("value", pa.int64()), ("size", pa.int32())])))
         for b in batches:
             rows = [page_slots(*x) for x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)))]
-            kinds = (pa.int32(), pa.bool_(), pa.float64(), pa.int64())
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["content_id", "site", "places", "in_heading", "nothing", "template"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *columns], names=["content_id", "site", "page", "places", "in_heading", "empty", "total", "template", "fixed", "whole", "units"])
 
-    return bodies.select("content_id", "site", "node", "tag", "text", "kind").mapInArrow(run, SLOTS)
+    return bodies.select("content_id", "site", "page", "tag", "text", "kind").mapInArrow(run, VALUES)
+
+
+def flagged(values: DataFrame) -> DataFrame:
+    """``site, slot, value``: values that are a default or blank, told by how the site's pages fill the slot.
+
+    A slot whose values are mostly different from page to page takes a value that stands on many pages for a default.
+    A slot that is mostly filled is blank where it is not. Pages are counted by address: a page that was captured
+    again with another content counts once.
+    """
+    unit = values.where("site IS NOT NULL").select("site", "page", F.explode("units").alias("u")).select("site", "page", "u.slot", "u.value")
+    per = unit.distinct().groupBy("site", "slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    blank = F.col("value") == NONE
+    slot = per.groupBy("site", "slot").agg(
+        F.sum("n").alias("records"), F.sum(F.when((F.col("n") == 1) & ~blank, 1).otherwise(0)).alias("single"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blanks")
+    )
+    slot = slot.where(F.col("records") >= SLOT_RECORDS)
+    default = ~blank & (F.col("n") >= DEFAULT_PAGES) & (2 * F.col("n") <= F.col("records")) & (2 * F.col("single") >= F.col("records"))
+    missing = blank & (4 * F.col("blanks") <= F.col("records"))
+    many = per.where(blank | (F.col("n") >= DEFAULT_PAGES))  # no other can be flagged
+    return many.join(slot, ["site", "slot"]).where(default | missing).select("site", "slot", "value")
+
+
+SLOTS = ("content_id", "site", "page", "places", "in_heading", "nothing", "defaults", "blanks", "lines", "template", "fixed", "whole")
+
+
+def slots(bodies: DataFrame) -> DataFrame:
+    """What the slots of each main body hold: places, the shares that say nothing and that are defaults or say nothing,
+    blank slots, slots in all, and the hashes of the body masked and as it stands."""
+    values = written(slot_values(bodies), "slot-values")  # read three times below
+    unit = values.where("site IS NOT NULL").select("content_id", "site", F.explode("units").alias("u")).select("content_id", "site", "u.*")
+    line = unit.join(flagged(values), ["site", "slot", "value"], "left_semi").groupBy("content_id", "site", "line").agg(
+        F.max("size").alias("size"), F.max(F.col("value") == NONE).alias("blank")
+    )
+    hit = line.groupBy("content_id", "site").agg(
+        F.sum(F.when(~F.col("blank"), F.col("size")).otherwise(0)).alias("default"), F.sum(F.col("blank").cast("int")).alias("blanks")
+    )
+    both = values.withColumn("lines", F.size(F.array_distinct(F.transform("units", lambda u: u["line"])))).withColumn(
+        "chars", F.greatest("total", F.aggregate(F.array_distinct(F.transform("units", lambda u: F.struct(u["line"], u["size"]))), F.lit(0), lambda a, x: a + x["size"]) + F.col("empty"))
+    ).drop("units")
+    default = F.coalesce("default", F.lit(0))
+    share = lambda x, of: F.when(F.col(of) > 0, x / F.col(of)).otherwise(0.0)
+    joined = both.join(hit, ["content_id", "site"], "left")
+    joined = joined.withColumn("nothing", share(F.col("empty"), "total")).withColumn("defaults", share(F.col("empty") + default, "chars"))
+    return joined.withColumn("blanks", F.coalesce("blanks", F.lit(0))).select(*SLOTS)
 
 
 def found(bodies: DataFrame) -> DataFrame:
     """``content_id`` of the contents whose main body is residue, filler, an error or a notice.
 
     Contents without lines are no cases. Quoted messages, samples in code and a single place in a sentence are none
-    either. A template that many sites share counts only where part of it says nothing.
+    either. A body that stands, names and numbers aside, on several pages each of several sites, or as it is on many
+    pages of one, is a whole-page template; one that part of says nothing needs only the sites.
     """
-    s = written(slots(bodies), "slots")  # read three times below
+    s = written(slots(bodies), "slots")  # read four times below
     own = (F.col("places") >= PLACES_FROM) | F.col("in_heading") | (F.col("nothing") >= NOTHING_SHARE)
+    own |= (F.col("defaults") >= NOTHING_SHARE) | (F.col("blanks") >= PLACES_FROM) & (2 * F.col("blanks") >= F.col("lines"))
     partly = s.where((F.col("template") != 0) & (F.col("nothing") >= NOTHING_SHARE / 2))
     shared = partly.groupBy("template").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= TEMPLATE_SITES)
     repeated = partly.join(shared, "template", "left_semi").select("content_id")
-    return s.where(own).select("content_id").unionByName(repeated).distinct()
+    fixed = s.where((F.col("template") != 0) & (F.col("fixed") >= FIXED_SHARE) & F.col("site").isNotNull())
+
+    def pages(key: str) -> DataFrame:
+        return fixed.select(key, "site", "page").distinct().groupBy(key, "site").agg(F.count(F.lit(1)).alias("pages"))
+
+    wide = pages("template").where(F.col("pages") >= TEMPLATE_PAGES).groupBy("template").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= TEMPLATE_SITES)
+    local = pages("whole").where(F.col("pages") >= LOCAL_PAGES).select("whole", "site")
+    templates = fixed.join(wide, "template", "left_semi").select("content_id").unionByName(fixed.join(local, ["whole", "site"], "left_semi").select("content_id"))
+    return s.where(own).select("content_id").unionByName(repeated).unionByName(templates).distinct()
