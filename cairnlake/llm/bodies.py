@@ -25,6 +25,8 @@ from cairnlake.session import cut, written
 NOTICE_CONTENTS = 3
 #: ... and this share of the site's contents.
 NOTICE_SHARE = 0.05
+#: A line in more than this share of the site's pages is furniture even where nothing else is left.
+FURNITURE_SHARE = 0.9
 #: A frame is a prompt or byline from so many sites ...
 FRAME_SITES = 4
 #: ... and this share of all sites ...
@@ -96,24 +98,26 @@ def structures(elements: DataFrame, capture: DataFrame) -> DataFrame:
 
 
 def site_words(contents: DataFrame) -> DataFrame:
-    """``site, hard, soft, frames``: hashes that are repeated on a site, one row per site that has any.
+    """``site, hard, soft, most, frames``: hashes that are repeated on a site, one row per site that has any.
 
-    ``hard`` are the wordings in a quarter of the contents, ``soft`` those in a twentieth, ``frames`` the masked
-    wordings that many sites share. By their shares of the site's contents, the three lists are at most 4, 20 and 50
-    times as long as a page has lines on average, whatever the number of pages.
+    ``hard`` are the wordings in a quarter of the pages, ``soft`` those in a twentieth, ``most`` those in more than
+    nine tenths, ``frames`` the masked wordings that many sites share. By their shares of the site's pages, the lists are at
+    most 4, 20, 2 and 50 times as long as a page has lines on average, whatever the number of pages. Contents of one
+    address are one page here: a page that was captured again and again repeats nothing.
     """
-    total = cut(totals(contents))
+    total = cut(contents.select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("total")))
     sites = total.count()
     per = (
-        contents.select("site", F.explode(F.array_distinct("h")).alias("h"))
+        contents.select("site", "page", F.explode(F.array_distinct("h")).alias("h")).distinct()
         .groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= NOTICE_CONTENTS)
         .join(total, "site").where(F.col("n") >= F.col("total") * NOTICE_SHARE)
     )
     is_hard = (F.col("n") >= LEAST_CONTENTS) & (F.col("n") >= F.col("total") * LEAST_SHARE)
-    words = per.groupBy("site").agg(F.collect_list(F.when(is_hard, F.col("h"))).alias("hard"), F.collect_list("h").alias("soft"))
+    is_most = is_hard & (F.col("n") > F.col("total") * FURNITURE_SHARE)
+    words = per.groupBy("site").agg(F.collect_list(F.when(is_hard, F.col("h"))).alias("hard"), F.collect_list("h").alias("soft"), F.collect_list(F.when(is_most, F.col("h"))).alias("most"))
     present = (
-        contents.select("site", F.explode(F.array_distinct(F.filter("frame", lambda x: x != 0))).alias("frame"))
+        contents.select("site", "page", F.explode(F.array_distinct(F.filter("frame", lambda x: x != 0))).alias("frame")).distinct()
         .groupBy("site", "frame").agg(F.count(F.lit(1)).alias("n"))
         .join(total, "site").where(F.col("n") >= F.col("total") * FRAME_SHARE).select("site", "frame")
     )
@@ -185,6 +189,21 @@ def _bodies(b: pa.RecordBatch, quiet: dict[str, tuple[bool, bool]]) -> pa.Record
     noise[rows[hard | weak]] = True
     title[rows[titled & ~link[rows]]] = True
     main = pages.main_body(f, noise, title)
+    # Where nothing is left, or a headline that is no furniture was left out, the body is found again: with furniture as
+    # noise only, then without any.
+    furniture = np.zeros(len(f.page), bool)
+    furniture[rows[_member(h, of, column("most"))]] = True
+    muted = (np.isin(tags.astype(str), ("h1",)) | titled) & ~link[rows] & (hard | weak) & ~furniture[rows]
+    inside_first = (main[of] >= 0) & (rows >= main[of]) & (rows < f.stop[np.maximum(main[of], 0)])
+    lead = np.isin(tags.astype(str), ("h1",)) | titled & ~link[rows]
+    again = np.bincount(of[muted], minlength=f.pages) > 0
+    again &= np.bincount(of[lead & inside_first], minlength=f.pages) == 0
+    again |= main < 0
+    for left in (furniture, np.zeros(len(f.page), bool)):
+        if again.any():
+            second = pages.main_body(f, left, title)
+            main = np.where(again & (second >= 0), second, main)
+            again &= main < 0
     heading = np.isin(tags.astype(str), pages.HEADINGS)
 
     def inside_main() -> np.ndarray:

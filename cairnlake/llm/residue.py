@@ -43,10 +43,12 @@ SAMPLES = frozenset(("code", "pre", "kbd", "samp", "textarea"))
 _VARIES = re.compile(r"/\S+|\d[\d.,]*|\b[^\W\d_a-zß-ÿ][\w’'-]*")
 _LETTERS = re.compile(r"[^\W\d_]")
 
-UNIT = "array<struct<line:int,slot:bigint,value:bigint,size:int>>"
+UNIT = "array<struct<line:int,slot:bigint,value:bigint,size:int,extra:int,by:int>>"
 VALUES = f"content_id string, site string, page bigint, places int, in_heading boolean, empty int, total int, template bigint, fixed double, whole bigint, units {UNIT}"
 #: The value of a blank slot.
 NONE = 0
+# How a slot was told: by the tag alone or in a line the site repeats, by its place, text or label, by the place of the first heading.
+TAGGED, PLACED, HEADED = range(3)
 
 
 def _hash(text: str) -> int:
@@ -58,20 +60,21 @@ def page_slots(tags: list[str], texts: list[str], kinds: list[int]) -> tuple[int
     all that count; the hash of the masked body, the share of its letters that are not masked, the hash of the body as
     it stands; and the values of the slots.
 
-    A line stands in the slot of its place (its tag, and the how-manieth of that tag), in that of its masked text, and
-    in that of its label before a colon.
+    A line stands in the slot of its place (its tag, and the how-manieth of that tag), in that of its tag alone (where
+    lines in between shift the places), in that of its masked text, and in that of its label before a colon.
     """
     places, heading, empty, total, units = 0, False, 0, 0, []
     own, every, at = [], [], Counter()
+    first = next((k for k, (t, kind) in enumerate(zip(tags, kinds)) if t in HEADINGS and kind not in (BEFORE, SHARE)), -1)
     for k, (tag, text, kind) in enumerate(zip(tags, texts, kinds)):
         if tag == "a" or kind in (BEFORE, SHARE, DATE):
             continue
         plain, at[tag] = wording(text), at[tag] + 1
         place = _hash(f"place {tag} {at[tag]}")
         if not plain:
-            units.append({"line": k, "slot": place, "value": NONE, "size": 0})
+            units.append({"line": k, "slot": place, "value": NONE, "size": 0, "extra": 0, "by": PLACED})
             continue
-        size = 0 if kind == REPEATED and not says_nothing(plain) else len(plain)
+        size = 0 if kind == REPEATED and not says_nothing(plain) and not PLACE.search(plain) else len(plain)
         nothing = 0
         total += size
         if size and tag not in SAMPLES and PLACE.search(plain):
@@ -88,13 +91,13 @@ def page_slots(tags: list[str], texts: list[str], kinds: list[int]) -> tuple[int
             own.append((line, plain))
         if tag in SAMPLES or nothing:
             continue
-        value = _hash(plain)
-        units.append({"line": k, "slot": place, "value": value, "size": len(plain)})
+        value, kept = _hash(plain), {"line": k, "size": len(plain), "extra": len(plain) - size, "by": PLACED if kind == OWN else TAGGED}
+        units += [kept | {"slot": place, "value": value, "by": HEADED if k == first else kept["by"]}, kept | {"slot": _hash(f"tag {tag}"), "value": value, "by": TAGGED}]
         if "*" in line and _LETTERS.search(line):
-            units.append({"line": k, "slot": _hash(f"text {line}"), "value": value, "size": len(plain)})
+            units.append(kept | {"slot": _hash(f"text {line}"), "value": value})
         label, colon, rest = plain.partition(":")
         if colon and len(label) < LABEL_CHARACTERS:
-            units.append({"line": k, "slot": _hash(f"label {label}"), "value": value if rest.strip() else NONE, "size": len(plain)})
+            units.append(kept | {"slot": _hash(f"label {label}"), "value": value if rest.strip() else NONE})
     both = own or every
     letters = sum(len(_LETTERS.findall(x)) for _, x in both)
     fixed = sum(len(_LETTERS.findall(x)) for x, _ in both) / letters if letters else 0.0
@@ -106,7 +109,7 @@ def slot_values(bodies: DataFrame) -> DataFrame:
     """The slots of each main body and their values, one row per body; a narrow pass over the bodies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("line", pa.int32()), ("slot", pa.int64()), ("value", pa.int64()), ("size", pa.int32())])))
+        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("line", pa.int32()), ("slot", pa.int64()), ("value", pa.int64()), ("size", pa.int32()), ("extra", pa.int32()), ("by", pa.int32())])))
         for b in batches:
             rows = [page_slots(*x) for x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)))]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
@@ -128,8 +131,9 @@ def flagged(values: DataFrame) -> DataFrame:
     slot = per.groupBy("site", "slot").agg(
         F.sum("n").alias("records"), F.sum(F.when((F.col("n") == 1) & ~blank, 1).otherwise(0)).alias("single"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blanks")
     )
-    slot = slot.where(F.col("records") >= SLOT_RECORDS)
-    default = ~blank & (F.col("n") >= DEFAULT_PAGES) & (2 * F.col("n") <= F.col("records")) & (2 * F.col("single") >= F.col("records"))
+    total = values.where("site IS NOT NULL").select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    slot = slot.where(F.col("records") >= SLOT_RECORDS).join(total, "site")
+    default = ~blank & (F.col("n") >= DEFAULT_PAGES) & (2 * F.col("n") <= F.least("records", "pages")) & (2 * F.col("single") >= F.col("records"))
     missing = blank & (4 * F.col("blanks") <= F.col("records"))
     many = per.where(blank | (F.col("n") >= DEFAULT_PAGES))  # no other can be flagged
     return many.join(slot, ["site", "slot"]).where(default | missing).select("site", "slot", "value")
@@ -144,17 +148,18 @@ def slots(bodies: DataFrame) -> DataFrame:
     values = written(slot_values(bodies), "slot-values")  # read three times below
     unit = values.where("site IS NOT NULL").select("content_id", "site", F.explode("units").alias("u")).select("content_id", "site", "u.*")
     line = unit.join(flagged(values), ["site", "slot", "value"], "left_semi").groupBy("content_id", "site", "line").agg(
-        F.max("size").alias("size"), F.max(F.col("value") == NONE).alias("blank")
+        F.max("size").alias("size"), F.max("extra").alias("extra"), F.max("by").alias("by"), F.max(F.col("value") == NONE).alias("blank")
     )
+    # By their tags alone bylines and notices look like defaults too: those count where the heading is one.
+    head = line.groupBy("content_id", "site").agg((F.max("by") == HEADED).alias("head"))
+    line = line.join(head, ["content_id", "site"]).where(F.col("head") | (F.col("by") != TAGGED))
     hit = line.groupBy("content_id", "site").agg(
-        F.sum(F.when(~F.col("blank"), F.col("size")).otherwise(0)).alias("default"), F.sum(F.col("blank").cast("int")).alias("blanks")
+        F.sum(F.when(~F.col("blank"), F.col("size")).otherwise(0)).alias("default"), F.sum("extra").alias("extra"), F.sum(F.col("blank").cast("int")).alias("blanks")
     )
-    both = values.withColumn("lines", F.size(F.array_distinct(F.transform("units", lambda u: u["line"])))).withColumn(
-        "chars", F.greatest("total", F.aggregate(F.array_distinct(F.transform("units", lambda u: F.struct(u["line"], u["size"]))), F.lit(0), lambda a, x: a + x["size"]) + F.col("empty"))
-    ).drop("units")
+    both = values.withColumn("lines", F.size(F.array_distinct(F.transform("units", lambda u: u["line"])))).drop("units")
     default = F.coalesce("default", F.lit(0))
     share = lambda x, of: F.when(F.col(of) > 0, x / F.col(of)).otherwise(0.0)
-    joined = both.join(hit, ["content_id", "site"], "left")
+    joined = both.join(hit, ["content_id", "site"], "left").withColumn("chars", F.col("total") + F.coalesce("extra", F.lit(0)))
     joined = joined.withColumn("nothing", share(F.col("empty"), "total")).withColumn("defaults", share(F.col("empty") + default, "chars"))
     return joined.withColumn("blanks", F.coalesce("blanks", F.lit(0))).select(*SLOTS)
 

@@ -32,7 +32,8 @@ STUFFED_SHARE = 0.25
 SPAM_SHARE = 0.5
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_SKIP = frozenset((REPEATED, NOTICE, DATE, SHARE, BEFORE))
+_SKIP = frozenset((DATE, SHARE, BEFORE))
+_SITE = frozenset((REPEATED, NOTICE))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +60,7 @@ def counted(bodies: DataFrame) -> DataFrame:
         for b in batches:
             ones, twos = [], []
             for tags, texts, kinds in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for text in {t for t, k in zip(texts, kinds) if k not in _SKIP}:
+                for text in {t for t, k in zip(texts, kinds) if k not in _SKIP | _SITE}:
                     h = [memo[w] for w in _WORD.findall(text.lower())]
                     ones += h
                     twos += [0, *h][:-1] if h else []
@@ -117,14 +118,22 @@ def associate(bodies: DataFrame) -> Association:
 
 
 def spam_share(tags: list[str], texts: list[str], kinds: list[int], memo: Words, model: Association) -> tuple[float, float, float]:
-    """The share of the body's characters in salad, stuffed lines and bare links; the mean PMI; the repeated share."""
-    lines = [(t, x) for t, x, k in zip(tags, texts, kinds) if k not in _SKIP and t not in HEADINGS and x.strip()]
-    if not lines:
-        return 0.0, 0.0, 0.0
-    hashes = [np.array([memo[w] for w in _WORD.findall(x.lower())], np.uint64) for _, x in lines]
+    """The share of the body's characters in salad, stuffed lines and bare links; the mean PMI; the repeated share.
+
+    They are those of the page's own lines or, if the share is larger, of all lines but the links the site repeats.
+    What the site repeats is not counted in the corpus, so it can be stuffed but no salad.
+    """
+    own = [(t, x, False) for t, x, k in zip(tags, texts, kinds) if k not in _SKIP | _SITE and t not in HEADINGS and x.strip()]
+    every = [(t, x, k in _SITE) for t, x, k in zip(tags, texts, kinds) if k not in _SKIP and (k not in _SITE or t not in ("a", "button")) and t not in HEADINGS and x.strip()]
+    found = [_measured(x, memo, model) for x in ((own,) if len(own) == len(every) else (own, every)) if x]
+    return max(found, key=lambda x: x[0], default=(0.0, 0.0, 0.0))
+
+
+def _measured(lines: list[tuple[str, str, bool]], memo: Words, model: Association) -> tuple[float, float, float]:
+    hashes = [np.array([memo[w] for w in _WORD.findall(x.lower())], np.uint64) for _, x, _ in lines]
     pairs = [pair(h[:-1], h[1:]) for h in hashes]
     seen, distinct = set(), []
-    for (_, x), p in zip(lines, pairs):
+    for (_, x, _), p in zip(lines, pairs):
         if x not in seen:
             seen.add(x)
             distinct.append(p)
@@ -133,7 +142,7 @@ def spam_share(tags: list[str], texts: list[str], kinds: list[int], memo: Words,
     often = k[(n >= REPEATS) & (n >= LIFT * len(flat) * model.elsewhere(k, n))]
     bad = total = weight = 0.0
     pmi_sum = rep_sum = 0.0
-    for (tag, x), h, p in zip(lines, hashes, pairs):
+    for (tag, x, site), h, p in zip(lines, hashes, pairs):
         size = len(x)
         total += size
         if tag in ("a", "button"):
@@ -144,7 +153,7 @@ def spam_share(tags: list[str], texts: list[str], kinds: list[int], memo: Words,
         rep = float(np.isin(p, often).mean()) if len(often) else 0.0
         v = model.pmi(h[:-1], h[1:])
         v = v[~np.isnan(v)]
-        mean = float(v.mean()) if len(v) >= 3 else LEAST_PMI
+        mean = float(v.mean()) if len(v) >= 3 and not site else LEAST_PMI
         pmi_sum += mean * len(p)
         rep_sum += rep * len(p)
         weight += len(p)

@@ -1,7 +1,9 @@
 import random
 
-from cairnlake.llm import residue
-from cairnlake.llm.bodies import BODY, bodies
+import numpy as np
+
+from cairnlake.llm import residue, spam
+from cairnlake.llm.bodies import BODY, NOTICE, REPEATED, bodies
 from tests.llm.test_pages import NOUNS, page, sentence, tables
 
 
@@ -40,3 +42,26 @@ def test_pages_captured_again_are_no_templates(spark):
     rows, caps, el, _ = tables(spark, [page(rng, i, again if i < 12 else None) for i in range(60)])
     cap = spark.createDataFrame([(k, "https://a.example/lamps?v=" + k if c < "c012" else u, c) for k, u, c in caps], "capture_id string, page_url string, content_id string")
     assert residue.found(bodies(el, cap)).count() == 0
+
+
+
+def test_defaults_on_a_twentieth_of_a_site(spark):
+    rng = random.Random(5)
+    mains = {i: "<h1>Brass thimble ahead</h1><p>Compose the opening passage of this leaf in the panel on the left.</p>" for i in range(3, 8)}
+    el, cap = tables(spark, [page(rng, i, mains.get(i)) for i in range(60)])[2:]
+    assert {r.content_id for r in residue.found(bodies(el, cap)).collect()} == {f"c{i:03d}" for i in mains}
+
+
+def test_templates_on_a_quarter_of_several_sites(spark):
+    rng = random.Random(7)
+    odd = {i: f"<h1>Out for lunch</h1><p>Whatever stood at /x{i} has wandered off, and nobody here can say where to.</p>" for i in range(0, 60, 4) for i in (i, i + 1, i + 2)}
+    sites = ("a.example", "b.example", "c.example", "d.example")
+    el, cap = tables(spark, [page(rng, i, odd.get(i)) for i in range(100)], sites)[2:]
+    assert {r.content_id for r in residue.found(bodies(el, cap)).collect()} >= {f"c{i:03d}" for i in odd}
+
+
+def test_places_and_keywords_of_repeated_lines():
+    assert residue.page_slots(["p", "p"], ["Dear {{name}}, hello", "Dear {{other}}, hello"], [REPEATED, REPEATED])[0] == 2
+    model = spam.Association((np.zeros(0, np.uint64), np.zeros(0)), (np.zeros(0, np.uint64), np.zeros(0)), 1e6, 2.0)
+    tags, texts = ["p"] * 13, ["Notes of the day"] + [f"buy brass lamps in {n} now" for n in NOUNS[:12]]
+    assert spam.spam_share(tags, texts, [0] + [NOTICE] * 12, spam.Words(), model)[0] > 0.5
