@@ -24,8 +24,10 @@ from cairnlake.session import written
 KEPT_SHARE = 1e-6
 #: A line whose pairs have a lower mean PMI is word salad.
 LEAST_PMI = 1.0
-#: A pair that stands so often in a page's lines, and so many times as often as in the rest of the corpus, is repeated ...
+#: A pair that stands so often in a page's lines, and so many times as often as in bodies that do not repeat it, is repeated ...
 REPEATS, LIFT = 3, 200.0
+#: A body repeats a pair for that comparison if it is also this share of its pairs.
+DENSE_SHARE = 0.02
 #: ... and a line with this share of repeated pairs is stuffed.
 STUFFED_SHARE = 0.25
 #: Share of the body's characters from which the page is a case.
@@ -53,33 +55,40 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def counted(bodies: DataFrame) -> DataFrame:
-    """``k, is_pair, n``: the counts of words and neighbouring pairs over all main bodies, combined before the shuffle."""
+    """``k, is_pair, n, quiet``: the counts of words and neighbouring pairs over all main bodies, combined before the
+    shuffle; ``quiet`` are the occurrences of a pair in bodies that do not repeat it, which no campaign can raise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for b in batches:
-            ones, twos = [], []
-            for tags, texts, kinds in zip(*(b.column(i).to_pylist() for i in range(3))):
+            ones, twos, bodies_of = [], [], []
+            for body, (tags, texts, kinds) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)))):
                 for text in {t for t, k in zip(texts, kinds) if k not in _SKIP | _SITE}:
                     h = [memo[w] for w in _WORD.findall(text.lower())]
                     ones += h
                     twos += [0, *h][:-1] if h else []
+                    bodies_of += [body] * len(h)
             a = np.array(ones, np.uint64)
             before = np.array(twos, np.uint64)
-            p = pair(before, a)[before != 0]
+            p, at = pair(before, a)[before != 0], np.array(bodies_of, np.int64)[before != 0]
             for x, flag in ((a, False), (p, True)):
-                k, n = np.unique(x, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), flag)), pa.array(n.astype(np.int64))], names=["k", "is_pair", "n"])
+                k, back, n = np.unique(x, return_inverse=True, return_counts=True)
+                quiet = np.zeros(len(k), np.int64)
+                if flag and len(k):
+                    key, m = np.unique(back.astype(np.int64) * (len(b) + 1) + at, return_counts=True)
+                    of = np.bincount(at, minlength=len(b))[key % (len(b) + 1)]
+                    quiet = np.bincount(key // (len(b) + 1), np.where((m < REPEATS) | (m < DENSE_SHARE * of), m, 0), len(k)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), flag)), pa.array(n.astype(np.int64)), pa.array(quiet)], names=["k", "is_pair", "n", "quiet"])
 
     slim = bodies.select("tag", "text", "kind")
-    return slim.mapInArrow(run, "k bigint, is_pair boolean, n bigint").groupBy("k", "is_pair").agg(F.sum("n").alias("n"))
+    return slim.mapInArrow(run, "k bigint, is_pair boolean, n bigint, quiet bigint").groupBy("k", "is_pair").agg(F.sum("n").alias("n"), F.sum("quiet").alias("quiet"))
 
 
 class Association:
     """PMI of a pair from the kept counts, as sorted arrays of at most ``1 / KEPT_SHARE`` entries each."""
 
-    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], total: float, floor: float):
-        self.words, self.pairs, self.total, self.floor = words, pairs, max(total, 1.0), floor
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], total: float, floor: float, quiet: tuple[np.ndarray, np.ndarray] | None = None):
+        self.words, self.pairs, self.total, self.floor, self.quiet = words, pairs, max(total, 1.0), floor, quiet or pairs
 
     @staticmethod
     def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -89,9 +98,9 @@ class Association:
         at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
         return np.where(k[at] == keys, n[at], 0.0)
 
-    def elsewhere(self, pairs: np.ndarray, here: np.ndarray) -> np.ndarray:
-        """The share of each pair in the corpus without its occurrences ``here``, the floor at least."""
-        return np.maximum(self._look(self.pairs, pairs) - here, self.floor) / self.total
+    def elsewhere(self, pairs: np.ndarray) -> np.ndarray:
+        """The share of each pair in the corpus, counted where it is not repeated; a pair found nowhere counts as the floor."""
+        return np.maximum(self._look(self.quiet, pairs), self.floor) / self.total
 
     def pmi(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The PMI of each pair; a pair that is not kept counts as half the floor, a pair of unknown words as NaN."""
@@ -107,14 +116,14 @@ def associate(bodies: DataFrame) -> Association:
     total = float(c.where(~F.col("is_pair")).agg(F.sum("n")).first()[0] or 0)
     floor = max(2.0, total * KEPT_SHARE)
     t = c.where(F.col("n") >= floor).toArrow()
-    k, flag, n = (t.column(i).to_numpy() for i in range(3))
+    k, flag, n, quiet = (t.column(i).to_numpy() for i in range(4))
     k, flag = k.view(np.uint64), flag.astype(bool)
 
-    def table(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def table(mask: np.ndarray, n: np.ndarray = n) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(k[mask])
         return k[mask][order], n[mask][order].astype(float)
 
-    return Association(table(~flag), table(flag), total, floor)
+    return Association(table(~flag), table(flag), total, floor, table(flag, quiet))
 
 
 def spam_share(tags: list[str], texts: list[str], kinds: list[int], memo: Words, model: Association) -> tuple[float, float, float]:
@@ -139,7 +148,7 @@ def _measured(lines: list[tuple[str, str, bool]], memo: Words, model: Associatio
             distinct.append(p)
     flat = np.concatenate(distinct) if distinct else np.zeros(0, np.uint64)
     k, n = np.unique(flat, return_counts=True)
-    often = k[(n >= REPEATS) & (n >= LIFT * len(flat) * model.elsewhere(k, n))]
+    often = k[(n >= REPEATS) & (n >= LIFT * len(flat) * model.elsewhere(k))]
     bad = total = weight = 0.0
     pmi_sum = rep_sum = 0.0
     for (tag, x, site), h, p in zip(lines, hashes, pairs):
