@@ -8,7 +8,6 @@ a line of a block is deleted.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,32 +29,19 @@ HOT_PARTS = 200
 #: Wordings a process remembers before the memo is emptied.
 MEMO = 200_000
 
-_NAMES = re.compile(r"\b[^\W\d_a-zß-ÿ][\w’'-]*|\d[\d.,]*")
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def wording(text: str) -> str:
     """Runs of white space as one space, ends trimmed, lower case: equal wordings are equal texts."""
     return " ".join(text.split()).lower()
 
 
 class Wordings(dict):
-    """Text of a line to (hash of its wording, hash of its frame); the frame has names and numbers masked.
-
-    The frame of a wording of more than 40 words, or of one without letters, is 0.
-    """
+    """Text of a line to the hash of its wording."""
 
-    def __missing__(self, text: str) -> tuple[int, int]:
-        plain = " ".join(text.split())
-        h = xxhash.xxh64_intdigest(plain.lower()) - (1 << 63)
-        frame = 0
-        if _LETTER.search(plain) and plain.count(" ") < 40:
-            head, rest = plain[:1], plain[1:]
-            frame = xxhash.xxh64_intdigest((head + _NAMES.sub("*", rest)).lower()) - (1 << 63)
+    def __missing__(self, text: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        self[text] = (h, frame)
-        return h, frame
+        h = self[text] = xxhash.xxh64_intdigest(wording(text)) - (1 << 63)
+        return h
 
 
 LINES = "content_id string, node array<int>, h array<bigint>"
@@ -80,7 +66,7 @@ def lines(elements: DataFrame) -> DataFrame:
                 f, flat = pages.forest(b.column(1))
                 rows = pages.line_rows(f)
                 text = flat.field("w").take(pa.array(f.take[rows])).to_pylist()
-                h = np.fromiter((memo[t][0] for t in text), np.int64, len(text))
+                h = np.fromiter((memo[t] for t in text), np.int64, len(text))
                 offsets = np.searchsorted(f.page[rows], np.arange(f.pages + 1))
                 node = pa.array(f.node[rows].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0), _lists(offsets, node), _lists(offsets, pa.array(h))], names=["content_id", "node", "h"])
@@ -192,7 +178,7 @@ def cleaned(elements: DataFrame, capture: DataFrame) -> DataFrame:
                 f, flat = pages.forest(b.column(1))
                 rows = pages.line_rows(f)
                 text = flat.field("w").take(pa.array(f.take[rows])).to_pylist()
-                h = np.fromiter((memo[t][0] for t in text), np.int64, len(text))
+                h = np.fromiter((memo[t] for t in text), np.int64, len(text))
                 offsets = np.searchsorted(f.page[rows], np.arange(f.pages + 1))
                 plain = pa.array([" ".join(t.split()) for t in text], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _lists(offsets, pa.array(h)), _lists(offsets, plain)], names=["content_id", "site", "h", "t"])

@@ -185,7 +185,7 @@ def main_body(f: Forest, noise: np.ndarray, title: np.ndarray) -> np.ndarray:
     first = np.full(f.pages, -1)
     first[f.page[heads][::-1]] = heads[::-1]
     wide, out = best.copy(), best.copy()
-    for _ in range(64):
+    while True:  # one level each, up to the depth of the page
         w = np.maximum(wide, 0)
         lacks = (wide >= 0) & (first >= 0) & ~((first >= w) & (first < f.stop[w]))
         if not lacks.any():

@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_texts(spark: SparkSession, sf: str) -> DataFrame:
     """``content_id, node_index, tag, text`` of every page's own lines, residue and spam included."""
-    return maintext.own_lines(_bodies(spark, sf))
+    return maintext.own_lines(bodies(table(spark, sf, "html_element"), table(spark, sf, "capture"), texts=True))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

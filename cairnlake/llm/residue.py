@@ -8,19 +8,10 @@ names and numbers aside, on several pages of several sites, or as they are on ma
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.bodies import BEFORE, DATE, OWN, REPEATED, SHARE
-from cairnlake.llm.boilerplate import wording
-from cairnlake.llm.lexicon import PLACE, says_nothing
-from cairnlake.llm.pages import HEADINGS
+from cairnlake.llm.slots import HEADED, NONE, TAGGED
 from cairnlake.session import written
 
 #: Share of a main body's characters that say nothing, from which the page is a case.
@@ -35,103 +26,21 @@ TEMPLATE_PAGES, LOCAL_PAGES = 3, 10
 FIXED_SHARE = 0.5
 #: A slot says something about its values from so many records; a value on so many pages may be its default.
 SLOT_RECORDS, DEFAULT_PAGES = 8, 4
-#: A label before a colon is shorter.
-LABEL_CHARACTERS = 40
-
-#: Tags that show a sample.
-SAMPLES = frozenset(("code", "pre", "kbd", "samp", "textarea"))
-_VARIES = re.compile(r"/\S+|\d[\d.,]*|\b[^\W\d_a-zß-ÿ][\w’'-]*")
-_LETTERS = re.compile(r"[^\W\d_]")
-
-UNIT = "array<struct<line:int,slot:bigint,value:bigint,size:int,extra:int,by:int>>"
-VALUES = f"content_id string, site string, page bigint, places int, in_heading boolean, empty int, total int, template bigint, fixed double, whole bigint, units {UNIT}"
-#: The value of a blank slot.
-NONE = 0
-# How a slot was told: by the tag alone or in a line the site repeats, by its place, text or label, by the place of the first heading.
-TAGGED, PLACED, HEADED = range(3)
-
-
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
-def page_slots(tags: list[str], texts: list[str], kinds: list[int]) -> tuple[int, bool, int, int, int, float, int, list[dict]]:
-    """Slots with variable names outside of samples, whether one is in a heading; the characters that say nothing and
-    all that count; the hash of the masked body, the share of its letters that are not masked, the hash of the body as
-    it stands; and the values of the slots.
-
-    A line stands in the slot of its place (its tag, and the how-manieth of that tag), in that of its tag alone (where
-    lines in between shift the places), in that of its masked text, and in that of its label before a colon.
-    """
-    places, heading, empty, total, units = 0, False, 0, 0, []
-    own, every, at = [], [], Counter()
-    first = next((k for k, (t, kind) in enumerate(zip(tags, kinds)) if t in HEADINGS and kind not in (BEFORE, SHARE)), -1)
-    for k, (tag, text, kind) in enumerate(zip(tags, texts, kinds)):
-        if tag == "a" or kind in (BEFORE, SHARE, DATE):
-            continue
-        plain, at[tag] = wording(text), at[tag] + 1
-        place = _hash(f"place {tag} {at[tag]}")
-        if not plain:
-            units.append({"line": k, "slot": place, "value": NONE, "size": 0, "extra": 0, "by": PLACED})
-            continue
-        size = 0 if kind == REPEATED and not says_nothing(plain) and not PLACE.search(plain) else len(plain)
-        nothing = 0
-        total += size
-        if size and tag not in SAMPLES and PLACE.search(plain):
-            places += 1
-            heading |= tag in HEADINGS
-            if not PLACE.sub("", plain).strip(" .,:;!?"):
-                nothing = size
-        elif size and says_nothing(plain):
-            nothing = size
-        empty += nothing
-        line = _VARIES.sub("*", " ".join(text.split())).lower()
-        every.append((line, plain))
-        if kind == OWN:
-            own.append((line, plain))
-        if tag in SAMPLES or nothing:
-            continue
-        value, kept = _hash(plain), {"line": k, "size": len(plain), "extra": len(plain) - size, "by": PLACED if kind == OWN else TAGGED}
-        units += [kept | {"slot": place, "value": value, "by": HEADED if k == first else kept["by"]}, kept | {"slot": _hash(f"tag {tag}"), "value": value, "by": TAGGED}]
-        if "*" in line and _LETTERS.search(line):
-            units.append(kept | {"slot": _hash(f"text {line}"), "value": value})
-        label, colon, rest = plain.partition(":")
-        if colon and len(label) < LABEL_CHARACTERS:
-            units.append(kept | {"slot": _hash(f"label {label}"), "value": value if rest.strip() else NONE})
-    both = own or every
-    letters = sum(len(_LETTERS.findall(x)) for _, x in both)
-    fixed = sum(len(_LETTERS.findall(x)) for x, _ in both) / letters if letters else 0.0
-    template, whole = (_hash("\n".join(x)) for x in zip(*both)) if both else (0, 0)
-    return places, heading, empty, total, template, fixed, whole, units
-
-
-def slot_values(bodies: DataFrame) -> DataFrame:
-    """The slots of each main body and their values, one row per body; a narrow pass over the bodies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("line", pa.int32()), ("slot", pa.int64()), ("value", pa.int64()), ("size", pa.int32()), ("extra", pa.int32()), ("by", pa.int32())])))
-        for b in batches:
-            rows = [page_slots(*x) for x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)))]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *columns], names=["content_id", "site", "page", "places", "in_heading", "empty", "total", "template", "fixed", "whole", "units"])
-
-    return bodies.select("content_id", "site", "page", "tag", "text", "kind").mapInArrow(run, VALUES)
-
-
-def flagged(values: DataFrame) -> DataFrame:
+def flagged(bodies: DataFrame) -> DataFrame:
     """``site, slot, value``: values that are a default or blank, told by how the site's pages fill the slot.
 
     A slot whose values are mostly different from page to page takes a value that stands on many pages for a default.
     A slot that is mostly filled is blank where it is not. Pages are counted by address: a page that was captured
     again with another content counts once.
     """
-    unit = values.where("site IS NOT NULL").select("site", "page", F.explode("units").alias("u")).select("site", "page", "u.slot", "u.value")
+    sited = bodies.where("site IS NOT NULL")
+    unit = sited.select("site", "page", F.explode("units").alias("u")).select("site", "page", "u.slot", "u.value")
     per = unit.distinct().groupBy("site", "slot", "value").agg(F.count(F.lit(1)).alias("n"))
     blank = F.col("value") == NONE
     slot = per.groupBy("site", "slot").agg(
         F.sum("n").alias("records"), F.sum(F.when((F.col("n") == 1) & ~blank, 1).otherwise(0)).alias("single"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blanks")
     )
-    total = values.where("site IS NOT NULL").select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    total = sited.select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     slot = slot.where(F.col("records") >= SLOT_RECORDS).join(total, "site")
     default = ~blank & (F.col("n") >= DEFAULT_PAGES) & (2 * F.col("n") <= F.least("records", "pages")) & (2 * F.col("single") >= F.col("records"))
     missing = blank & (4 * F.col("blanks") <= F.col("records"))
@@ -145,9 +54,8 @@ SLOTS = ("content_id", "site", "page", "places", "in_heading", "nothing", "defau
 def slots(bodies: DataFrame) -> DataFrame:
     """What the slots of each main body hold: places, the shares that say nothing and that are defaults or say nothing,
     blank slots, slots in all, and the hashes of the body masked and as it stands."""
-    values = written(slot_values(bodies), "slot-values")  # read three times below
-    unit = values.where("site IS NOT NULL").select("content_id", "site", F.explode("units").alias("u")).select("content_id", "site", "u.*")
-    line = unit.join(flagged(values), ["site", "slot", "value"], "left_semi").groupBy("content_id", "site", "line").agg(
+    unit = bodies.where("site IS NOT NULL").select("content_id", "site", F.explode("units").alias("u")).select("content_id", "site", "u.*")
+    line = unit.join(flagged(bodies), ["site", "slot", "value"], "left_semi").groupBy("content_id", "site", "line").agg(
         F.max("size").alias("size"), F.max("extra").alias("extra"), F.max("by").alias("by"), F.max(F.col("value") == NONE).alias("blank")
     )
     # By their tags alone bylines and notices look like defaults too: those count where the heading is one.
@@ -156,7 +64,7 @@ def slots(bodies: DataFrame) -> DataFrame:
     hit = line.groupBy("content_id", "site").agg(
         F.sum(F.when(~F.col("blank"), F.col("size")).otherwise(0)).alias("default"), F.sum("extra").alias("extra"), F.sum(F.col("blank").cast("int")).alias("blanks")
     )
-    both = values.withColumn("lines", F.size(F.array_distinct(F.transform("units", lambda u: u["line"])))).drop("units")
+    both = bodies.select("content_id", "site", "page", "places", "in_heading", "empty", "total", "template", "fixed", "whole", "lines")
     default = F.coalesce("default", F.lit(0))
     share = lambda x, of: F.when(F.col(of) > 0, x / F.col(of)).otherwise(0.0)
     joined = both.join(hit, ["content_id", "site"], "left").withColumn("chars", F.col("total") + F.coalesce("extra", F.lit(0)))

@@ -1,198 +1,235 @@
 """Pages of keywords, links or tags in place of sentences.
 
-Words and neighbouring pairs are counted over all main bodies; the mean pointwise mutual information of a line's
-neighbours tells sentences from word salad, and the share of pairs that the page repeats in line after line tells
-stuffed collocations. A page is a case if most of its body is salad, stuffed or bare links.
+Words and neighbouring pairs are counted over all main bodies. The pointwise mutual information of neighbouring words is
+taken from what the rest of the corpus says of them: the page's own occurrences are left out. Its mean over a line tells
+sentences from word salad. Among lines whose pairs the page repeats again and again it tells prose with a refrain from
+stuffed collocations; there the occurrences in bodies that repeat the pair are left out too, so that no campaign can
+raise them. A page is a case if most of
+its body is salad, stuffed or bare links.
+
+Frequent words and pairs are broadcast, up to a number that does not grow with the corpus; the counts of all others reach
+the pages that hold them by a shuffle join. No count is dropped.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.bodies import BEFORE, DATE, NOTICE, REPEATED, SHARE
-from cairnlake.llm.pages import HEADINGS
+from cairnlake.llm import residue
+from cairnlake.llm.kinds import CELLS, LINKS
+from cairnlake.llm.pages import HEADINGS, PAGES_PER_BATCH
+from cairnlake.llm.words import OF_SITE, REPEATS, SKIPPED, Counts, mixed, neighbours, ranges
 from cairnlake.session import written
 
-#: Words and pairs are kept from this share of all words: at most its inverse of each can be kept, whatever the corpus.
-KEPT_SHARE = 1e-6
-#: A line whose pairs have a lower mean PMI is word salad.
-LEAST_PMI = 1.0
-#: A pair that stands so often in a page's lines, and so many times as often as in bodies that do not repeat it, is repeated ...
-REPEATS, LIFT = 3, 200.0
-#: A body repeats a pair for that comparison if it is also this share of its pairs.
-DENSE_SHARE = 0.02
-#: ... and a line with this share of repeated pairs is stuffed.
+#: Words and pairs from this share of all words are broadcast: at most its inverse of each, whatever the corpus.
+BROADCAST_SHARE = 1e-6
+#: A line of so many pairs whose mean PMI is lower is word salad.
+SALAD_PAIRS, SALAD_PMI = 8, 1.0
+#: Salad counts where, with all else that is bad, it makes up so much of the body: a list among sentences is no case.
+SALAD_SHARE = 0.8
+#: A pair that stands so many times as often in a page as in bodies that do not repeat it is repeated; one found nowhere else counts as two.
+LIFT, LEAST_ELSEWHERE = 200.0, 2
+#: A line with this share of repeated pairs may be stuffed ...
 STUFFED_SHARE = 0.25
+#: ... and is if the mean PMI of such lines is below that of prose.
+PROSE_PMI = 2.6
+#: Lines of fewer words are judged together with those next to them.
+SHORT_WORDS = 4
 #: Share of the body's characters from which the page is a case.
 SPAM_SHARE = 0.5
 
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_SKIP = frozenset((DATE, SHARE, BEFORE))
-_SITE = frozenset((REPEATED, NOTICE))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Words(dict):
-    """Word to a 64-bit hash; numbers share one."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest("0" if word[0].isdigit() else word)
-        return h
-
-
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (a * _MIX) ^ (b + np.uint64(0x632BE59BD9B4E019))
-
 
 def counted(bodies: DataFrame) -> DataFrame:
-    """``k, is_pair, n, quiet``: the counts of words and neighbouring pairs over all main bodies, combined before the
-    shuffle; ``quiet`` are the occurrences of a pair in bodies that do not repeat it, which no campaign can raise."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
-        for b in batches:
-            ones, twos, bodies_of = [], [], []
-            for body, (tags, texts, kinds) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)))):
-                for text in {t for t, k in zip(texts, kinds) if k not in _SKIP | _SITE}:
-                    h = [memo[w] for w in _WORD.findall(text.lower())]
-                    ones += h
-                    twos += [0, *h][:-1] if h else []
-                    bodies_of += [body] * len(h)
-            a = np.array(ones, np.uint64)
-            before = np.array(twos, np.uint64)
-            p, at = pair(before, a)[before != 0], np.array(bodies_of, np.int64)[before != 0]
-            for x, flag in ((a, False), (p, True)):
-                k, back, n = np.unique(x, return_inverse=True, return_counts=True)
-                quiet = np.zeros(len(k), np.int64)
-                if flag and len(k):
-                    key, m = np.unique(back.astype(np.int64) * (len(b) + 1) + at, return_counts=True)
-                    of = np.bincount(at, minlength=len(b))[key % (len(b) + 1)]
-                    quiet = np.bincount(key // (len(b) + 1), np.where((m < REPEATS) | (m < DENSE_SHARE * of), m, 0), len(k)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), flag)), pa.array(n.astype(np.int64)), pa.array(quiet)], names=["k", "is_pair", "n", "quiet"])
-
-    slim = bodies.select("tag", "text", "kind")
-    return slim.mapInArrow(run, "k bigint, is_pair boolean, n bigint, quiet bigint").groupBy("k", "is_pair").agg(F.sum("n").alias("n"), F.sum("quiet").alias("quiet"))
+    """``k, n, quiet, is_word``: the counts of words and neighbouring pairs over all main bodies, combined before the
+    shuffle; ``quiet`` are the occurrences of a pair in bodies that do not repeat it."""
+    return bodies.select(F.inline("tally")).groupBy("k").agg(F.sum("n").alias("n"), F.sum("quiet").alias("quiet"), F.bool_or("is_word").alias("is_word"))
 
 
-class Association:
-    """PMI of a pair from the kept counts, as sorted arrays of at most ``1 / KEPT_SHARE`` entries each."""
+class Table:
+    """Counts by key, as sorted arrays."""
 
-    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], total: float, floor: float, quiet: tuple[np.ndarray, np.ndarray] | None = None):
-        self.words, self.pairs, self.total, self.floor, self.quiet = words, pairs, max(total, 1.0), floor, quiet or pairs
+    def __init__(self, k: np.ndarray, n: np.ndarray, quiet: np.ndarray):
+        self.k, at = np.unique(k, return_index=True)
+        self.n, self.quiet = n[at], quiet[at]
 
-    @staticmethod
-    def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        k, n = table
-        if not len(k):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-        return np.where(k[at] == keys, n[at], 0.0)
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether it is there."""
+        if not len(self.k):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.k, keys), len(self.k) - 1)
+        return at, self.k[at] == keys
 
-    def elsewhere(self, pairs: np.ndarray) -> np.ndarray:
-        """The share of each pair in the corpus, counted where it is not repeated; a pair found nowhere counts as the floor."""
-        return np.maximum(self._look(self.quiet, pairs), self.floor) / self.total
 
-    def pmi(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The PMI of each pair; a pair that is not kept counts as half the floor, a pair of unknown words as NaN."""
-        ca, cb = self._look(self.words, a), self._look(self.words, b)
-        cp = np.maximum(self._look(self.pairs, pair(a, b)), self.floor / 2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where((ca > 0) & (cb > 0), np.log(cp * self.total / (ca * cb)), np.nan)
+class Association:
+    """What the rest of the corpus has of the words and pairs of a batch of pages: ``frequent`` is the broadcast table,
+    ``rare`` holds the other keys of the batch that stand elsewhere, ``own`` what each page has itself."""
+
+    def __init__(self, frequent: Table, rare: Table, own: Counts, total: float):
+        self.tables, self.total = (frequent, rare), max(total, 1.0)
+        key = mixed(own.page.astype(np.uint64), own.k)
+        self.own = Table(key, own.n, own.quiet)
+
+    def elsewhere(self, page: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key stands on other pages, and how often where it is not repeated."""
+        n, quiet = np.zeros(len(keys)), np.zeros(len(keys))
+        for t in self.tables:
+            at, there = t.find(keys)
+            if there.any():
+                n[there], quiet[there] = t.n[at[there]], t.quiet[at[there]]
+        at, there = self.own.find(mixed(page.astype(np.uint64), keys))
+        if there.any():
+            n[there] -= self.own.n[at[there]]
+            quiet[there] -= self.own.quiet[at[there]]
+        return np.maximum(n, 0), np.maximum(quiet, 0)
+
+    def pmi(self, page: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The PMI of each pair, discounted where few occurrences speak for it and 0 where none does: from all other
+        occurrences, and from those in bodies that do not repeat the pair."""
+        ca, cb = self.elsewhere(page, a)[0], self.elsewhere(page, b)[0]
+        out = []
+        for both in self.elsewhere(page, mixed(a, b)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                value = np.log(both * self.total / (np.maximum(ca, 1) * np.maximum(cb, 1))) * both / (both + 1)
+            out.append(np.where(both > 0, np.maximum(value, 0), 0.0))
+        return out[0], out[1]
+
+
+def _measured(n_pages: int, rows: np.ndarray, page: np.ndarray, tag: np.ndarray, kind: np.ndarray, lines: dict[str, np.ndarray], used: np.ndarray, model: Association) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each page: the share of the characters of ``rows`` in bad lines, the mean PMI, and the share of repeated pairs."""
+    page, tag, size = page[rows], tag[rows], lines["size"][rows].astype(float)
+    count, h = lines["n_words"][rows], lines["h"][rows]
+    start = (np.cumsum(lines["n_words"]) - lines["n_words"])[rows]
+    link = np.isin(tag, LINKS)
+    short = ~link & (count < SHORT_WORDS)
+    # Neighbouring short lines are one unit, every other line is one by itself.
+    joined = np.concatenate([[False], short[1:] & short[:-1] & (page[1:] == page[:-1])]) if len(rows) else np.zeros(0, bool)
+    unit = np.cumsum(~joined) - 1
+    n_units = int(unit[-1]) + 1 if len(unit) else 0
+    text = np.flatnonzero(~link)
+    w = used[ranges(start[text], count[text])]
+    of = np.repeat(text, count[text])
+    a, b, at = neighbours(unit[of], w)
+    pair_page, pair_unit, pair_line = page[of[at]], unit[of[at]], of[at]
+    key = mixed(a, b)
+    # How often the page has each pair in different lines.
+    first = np.zeros(len(rows), bool)
+    first[np.unique(mixed(page.astype(np.uint64), h.view(np.uint64)), return_index=True)[1]] = True
+    local = mixed(pair_page.astype(np.uint64), key)
+    names, back = np.unique(local, return_inverse=True)
+    once = first[pair_line]
+    n = np.bincount(back[once], minlength=len(names))[back]
+    pairs = np.bincount(pair_page[once], minlength=n_pages)
+    quiet = model.elsewhere(pair_page, key)[1]
+    often = (n >= REPEATS) & (n * model.total >= LIFT * pairs[pair_page] * np.maximum(quiet, LEAST_ELSEWHERE))
+    pmi, quiet_pmi = model.pmi(pair_page, a, b)
+    in_unit = np.bincount(pair_unit, minlength=n_units)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rep = np.where(in_unit >= 3, np.bincount(pair_unit, often, n_units) / in_unit, 0.0)
+        mean = np.where(in_unit > 0, np.bincount(pair_unit, pmi, n_units) / in_unit, 0.0)
+    unit_page = np.zeros(n_units, np.int64)
+    unit_page[unit] = page
+    # Lines with many repeated pairs are stuffed unless they read like prose, all of the page's taken together.
+    may = rep >= STUFFED_SHARE
+    of_may = may[pair_unit]
+    weight = np.bincount(pair_page[of_may], minlength=n_pages)
+    stuffed_pmi = np.bincount(pair_page[of_may], quiet_pmi[of_may], n_pages) / np.maximum(weight, 1)
+    bad = may & (stuffed_pmi[unit_page] < PROSE_PMI)
+    # What the site repeats is not counted, and cells are no sentences: neither can be salad.
+    other = np.zeros(n_units, bool)
+    other[unit[np.isin(kind[rows], OF_SITE) | np.isin(tag, CELLS)]] = True
+    salad = bad | ~other & (in_unit >= SALAD_PAIRS) & (mean < SALAD_PMI)
+    total = np.maximum(np.bincount(page, size, n_pages), 1)
+    share, with_salad = (np.bincount(page, np.where(link | x[unit], size, 0.0), n_pages) / total for x in (bad, salad))
+    share = np.where(with_salad >= SALAD_SHARE, with_salad, share)
+    every = np.maximum(np.bincount(pair_page, minlength=n_pages), 1)
+    return share, np.bincount(pair_page, pmi, n_pages) / every, np.bincount(pair_page, often, n_pages) / every
+
+
+def spam_shares(n_pages: int, page: np.ndarray, tag: np.ndarray, kind: np.ndarray, lines: dict[str, np.ndarray], used: np.ndarray, model: Association) -> list[np.ndarray]:
+    """Of each page the share of its body in salad, stuffed lines and bare links, the mean PMI and the repeated share.
 
+    They are those of the page's own lines or, if the share is larger, of all lines but the links the site repeats.
+    """
+    said = (lines["size"] > 0) & ~np.isin(tag, HEADINGS) & ~np.isin(kind, SKIPPED)
+    of_site = np.isin(kind, OF_SITE)
+    found = [_measured(n_pages, np.flatnonzero(m), page, tag, kind, lines, used, model) for m in (said & ~of_site, said & (~of_site | ~np.isin(tag, LINKS)))]
+    larger = found[1][0] > found[0][0]
+    return [np.where(larger, y, x) for x, y in zip(*found)]
 
-def associate(bodies: DataFrame) -> Association:
-    """The kept counts. Only they come to the driver: their number is bounded by ``KEPT_SHARE``."""
-    c = written(counted(bodies), "pair-counts")
-    total = float(c.where(~F.col("is_pair")).agg(F.sum("n")).first()[0] or 0)
-    floor = max(2.0, total * KEPT_SHARE)
-    t = c.where(F.col("n") >= floor).toArrow()
-    k, flag, n, quiet = (t.column(i).to_numpy() for i in range(4))
-    k, flag = k.view(np.uint64), flag.astype(bool)
 
-    def table(mask: np.ndarray, n: np.ndarray = n) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(k[mask])
-        return k[mask][order], n[mask][order].astype(float)
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Page, tag and kind of each line of a batch of bodies, its columns, and all words."""
+    col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+    sizes = np.diff(col["kind"].offsets.to_numpy())
+    page = np.repeat(np.arange(len(b)), sizes)
+    flat = {n: col[n].flatten().to_numpy(zero_copy_only=False) for n in ("kind", "h", "size", "n_words")}
+    tag = np.array(col["tag"].flatten().to_pylist(), str) if len(page) else np.zeros(0, str)
+    return page, tag, flat.pop("kind"), flat, col["words"].flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
-    return Association(table(~flag), table(flag), total, floor, table(flag, quiet))
 
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for at in range(0, len(big), PAGES_PER_BATCH):
+            yield big.slice(at, PAGES_PER_BATCH)
 
-def spam_share(tags: list[str], texts: list[str], kinds: list[int], memo: Words, model: Association) -> tuple[float, float, float]:
-    """The share of the body's characters in salad, stuffed lines and bare links; the mean PMI; the repeated share.
 
-    They are those of the page's own lines or, if the share is larger, of all lines but the links the site repeats.
-    What the site repeats is not counted in the corpus, so it can be stuffed but no salad.
-    """
-    own = [(t, x, False) for t, x, k in zip(tags, texts, kinds) if k not in _SKIP | _SITE and t not in HEADINGS and x.strip()]
-    every = [(t, x, k in _SITE) for t, x, k in zip(tags, texts, kinds) if k not in _SKIP and (k not in _SITE or t not in ("a", "button")) and t not in HEADINGS and x.strip()]
-    found = [_measured(x, memo, model) for x in ((own,) if len(own) == len(every) else (own, every)) if x]
-    return max(found, key=lambda x: x[0], default=(0.0, 0.0, 0.0))
-
-
-def _measured(lines: list[tuple[str, str, bool]], memo: Words, model: Association) -> tuple[float, float, float]:
-    hashes = [np.array([memo[w] for w in _WORD.findall(x.lower())], np.uint64) for _, x, _ in lines]
-    pairs = [pair(h[:-1], h[1:]) for h in hashes]
-    seen, distinct = set(), []
-    for (_, x, _), p in zip(lines, pairs):
-        if x not in seen:
-            seen.add(x)
-            distinct.append(p)
-    flat = np.concatenate(distinct) if distinct else np.zeros(0, np.uint64)
-    k, n = np.unique(flat, return_counts=True)
-    often = k[(n >= REPEATS) & (n >= LIFT * len(flat) * model.elsewhere(k))]
-    bad = total = weight = 0.0
-    pmi_sum = rep_sum = 0.0
-    for (tag, x, site), h, p in zip(lines, hashes, pairs):
-        size = len(x)
-        total += size
-        if tag in ("a", "button"):
-            bad += size
-            continue
-        if len(p) < 3:
-            continue
-        rep = float(np.isin(p, often).mean()) if len(often) else 0.0
-        v = model.pmi(h[:-1], h[1:])
-        v = v[~np.isnan(v)]
-        mean = float(v.mean()) if len(v) >= 3 and not site else LEAST_PMI
-        pmi_sum += mean * len(p)
-        rep_sum += rep * len(p)
-        weight += len(p)
-        if rep >= STUFFED_SHARE or mean < LEAST_PMI:
-            bad += size
-    w = max(weight, 1.0)
-    return bad / total, pmi_sum / w, rep_sum / w
+_COLUMNS = ("content_id", "tag", "kind", "h", "size", "n_words", "words")
 
 
 def scores(bodies: DataFrame) -> DataFrame:
     """``content_id, spam, mean_pmi, repeated`` of each main body; contents without lines have zeros."""
-    spark: SparkSession = bodies.sparkSession
-    model = spark.sparkContext.broadcast(associate(bodies))
+    sc = bodies.sparkSession.sparkContext
+    counts = written(counted(bodies), "pair-counts")
+    total = float(counts.where("is_word").agg(F.sum("n")).first()[0] or 0)
+    floor = total * BROADCAST_SHARE
+    # Their number is bounded: all words together have the count ``total``, all pairs less.
+    t = counts.where(F.col("n") >= floor).select("k", "n", "quiet").toArrow()
+    frequent = sc.broadcast(Table(t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy(), t.column(2).to_numpy()))
+    slim = bodies.select(*_COLUMNS)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pages(batches):
+            page, _, kind, lines, used = _flat(b)
+            own = Counts(len(b), page, kind, lines, used)
+            other = ~frequent.value.find(own.k)[1]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own.page[other])), pa.array(own.k[other].view(np.int64))], names=["content_id", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
-        for b in batches:
-            rows = [spam_share(*x, memo, model.value) for x in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
-            columns = [pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]
+        for b in _pages(batches):
+            page, tag, kind, lines, used = _flat(b)
+            rare = b.column(len(_COLUMNS)).flatten()
+            table = Table(rare.field(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), *(rare.field(i).to_numpy(zero_copy_only=False) for i in (1, 2)))
+            model = Association(frequent.value, table, Counts(len(b), page, kind, lines, used), total)
+            columns = [pa.array(x) for x in spam_shares(len(b), page, tag, kind, lines, used, model)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["content_id", "spam", "mean_pmi", "repeated"])
 
-    slim = bodies.select("content_id", "tag", "text", "kind")
+    # A key found once in the corpus is the page's own, so the rest of the corpus has nothing of it.
+    rare = counts.where((F.col("n") > 1) & (F.col("n") < floor)).select("k", "n", "quiet")
+    keys = slim.mapInArrow(asked, "content_id string, k bigint")
+    looked = keys.join(rare, "k").groupBy("content_id").agg(F.collect_list(F.struct("k", "n", "quiet")).alias("rare"))
+    none = F.array().cast("array<struct<k:bigint,n:bigint,quiet:bigint>>")
+    if floor > 2:
+        slim = slim.join(looked, "content_id", "left").withColumn("rare", F.coalesce("rare", none))
+    else:  # every key found twice is frequent
+        slim = slim.withColumn("rare", none)
     return slim.mapInArrow(run, "content_id string, spam double, mean_pmi double, repeated double")
 
 
-def found_contents(bodies: DataFrame) -> DataFrame:
-    """``content_id`` of the contents whose main body is mostly keywords, links or tags."""
+def stuffed_contents(bodies: DataFrame) -> DataFrame:
+    """``content_id`` of the contents whose main body is mostly keywords, links or tags, residue among them."""
     return scores(bodies).where(F.col("spam") >= SPAM_SHARE).select("content_id").distinct()
 
 
+def found_contents(bodies: DataFrame) -> DataFrame:
+    """``stuffed_contents`` without the pages that are template residue, filler or notices: those repeat words too."""
+    return stuffed_contents(bodies).join(residue.found(bodies), "content_id", "left_anti")
+
+
 def found(bodies: DataFrame, capture: DataFrame) -> DataFrame:
     """``capture_id`` of the captures of such contents; null ids are left out, repeated captures come once."""
     captures = capture.where("capture_id IS NOT NULL").select("capture_id", "content_id")

@@ -1,17 +1,12 @@
 import random
 
-import numpy as np
-
-from cairnlake.llm import residue, spam
-from cairnlake.llm.bodies import BODY, NOTICE, REPEATED, bodies
+from cairnlake.llm import residue
+from cairnlake.llm.bodies import bodies
+from cairnlake.llm.kinds import REPEATED
+from tests.llm.made import made
 from tests.llm.test_pages import NOUNS, page, sentence, tables
 
 
-def made(spark, mains, sites=("a.example",)):
-    rows = [(f"c{i:03d}", sites[i % len(sites)], list(range(len(m))), [t for t, _ in m], [x for _, x in m], [0] * len(m), i) for i, m in enumerate(mains)]
-    return spark.createDataFrame(rows, BODY)
-
-
 def test_defaults_without_known_phrases(spark):
     rng = random.Random(5)
     mains = [[("h1", f"Piece {i} of {NOUNS[i % 20]}s"), ("p", sentence(rng))] for i in range(200)]
@@ -60,8 +55,6 @@ def test_templates_on_a_quarter_of_several_sites(spark):
     assert {r.content_id for r in residue.found(bodies(el, cap)).collect()} >= {f"c{i:03d}" for i in odd}
 
 
-def test_places_and_keywords_of_repeated_lines():
-    assert residue.page_slots(["p", "p"], ["Dear {{name}}, hello", "Dear {{other}}, hello"], [REPEATED, REPEATED])[0] == 2
-    model = spam.Association((np.zeros(0, np.uint64), np.zeros(0)), (np.zeros(0, np.uint64), np.zeros(0)), 1e6, 2.0)
-    tags, texts = ["p"] * 13, ["Notes of the day"] + [f"buy brass lamps in {n} now" for n in NOUNS[:12]]
-    assert spam.spam_share(tags, texts, [0] + [NOTICE] * 12, spam.Words(), model)[0] > 0.5
+def test_places_of_repeated_lines(spark):
+    mains = [[("p", "Dear {{name}}, hello"), ("p", "Dear {{other}}, hello")]]
+    assert made(spark, mains, kinds={(0, 0): REPEATED, (0, 1): REPEATED}).first().places == 2
