@@ -2,45 +2,48 @@
 
 A document is parsed once to a VARIANT. A single higher-order expression then walks it level by level: nested
 ``transform`` calls attach the ancestor's path and the place or field name to every child, ``flatten`` joins the
-children of a level, and one ``inline`` per target table emits the rows. The number of levels is taken from each
-document's own bracket depth, so no depth is cut off.
+children of a level, and one ``inline`` per target table emits the rows. A node is cast to its map or array once and
+carries that to the next level. The number of levels is taken from each document's own bracket depth, so no depth is
+cut off. Documents beyond the limits of Spark's JSON parser (depth, lengths of numbers, names and strings) are read and
+walked in Python without recursion, for all tables alike.
 """
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE = "struct<path:string,parent:string,name:string,v:variant>"
-
-# One level: the children of all objects and arrays of the frontier that are containers themselves or scalars.
+# The children of a frontier: the entries of its objects and the places of its arrays.
 _CHILDREN = """
 flatten(transform({frontier}, n -> concat(
   transform(
-    coalesce(map_entries(try_variant_get(n.v, '$', 'map<string,variant>')), array()),
+    coalesce(map_entries(n.obj), array()),
     e -> named_struct(
       'path', concat(n.path, '/', replace(replace(e.key, '~', '~0'), '/', '~1')),
-      'parent', n.path, 'name', e.key, 'v', e.value)),
+      'parent', n.path, 'field', e.key, 'place', '', 'v', e.value)),
   transform(
-    coalesce(try_variant_get(n.v, '$', 'array<variant>'), array()),
+    coalesce(n.arr, array()),
     (x, i) -> named_struct(
-      'path', concat(n.path, '/', cast(i AS string)),
-      'parent', if(n.is_object, n.path, n.parent), 'name', cast(i AS string), 'v', x)))))
+      'path', concat(n.path, '/', cast(i AS string)), 'parent', n.parent, 'field', n.field,
+      'place', if(n.place = '', cast(i AS string), concat(n.place, '/', cast(i AS string))), 'v', x)))))
 """
 
-# A node's kind decides what the row of a table is: objects, arrays (only walked through) and scalars.
-_MARK = """
-transform({nodes}, c -> named_struct(
-  'path', c.path, 'parent', c.parent, 'name', c.name, 'v', c.v,
-  'is_object', try_variant_get(c.v, '$', 'map<string,variant>') IS NOT NULL,
-  'is_array', try_variant_get(c.v, '$', 'array<variant>') IS NOT NULL))
+# Each node with its map or its array; scalars have neither.
+_NODES = """
+transform(
+  transform({children}, c -> named_struct('c', c, 'obj', try_variant_get(c.v, '$', 'map<string,variant>'))),
+  d -> named_struct('path', d.c.path, 'parent', d.c.parent, 'field', d.c.field, 'place', d.c.place, 'obj', d.obj,
+    'arr', if(d.obj IS NULL, try_variant_get(d.c.v, '$', 'array<variant>'), null)))
 """
 
-MARKED = "array<struct<path:string,parent:string,name:string,v:variant,is_object:boolean,is_array:boolean>>"
+NODES = "array<struct<path:string,parent:string,field:string,place:string,obj:map<string,variant>,arr:array<variant>>>"
+PATHS = "array<struct<path:string,parent:string>>"
 
 # Depth of brackets outside of strings: one pass over the few characters that remain.
 _DEPTH = r"""
@@ -53,17 +56,25 @@ aggregate(
   s -> s.m)
 """
 
-_WALK = f"""
+
+def _containers(children: str) -> str:
+    return f"cast(filter({_NODES.format(children=children)}, c -> c.obj IS NOT NULL OR c.arr IS NOT NULL) AS {NODES})"
+
+
+def _walk(kept: str, kind: str) -> str:
+    """The walk as one expression; ``kept`` says what of a level's frontier ``s.frontier`` is collected."""
+    root = "array(named_struct('path', '#', 'parent', '', 'field', '', 'place', '', 'v', doc))"
+    return f"""
 aggregate(
   sequence(1, depth),
-  named_struct(
-    'frontier', cast(filter({_MARK.format(nodes="array(named_struct('path', '#', 'parent', '', 'name', '', 'v', doc))")}, c -> c.is_object OR c.is_array) AS {MARKED}),
-    'found', cast(array() AS {MARKED})),
+  named_struct('frontier', {_containers(root)}, 'found', cast(array() AS {kind})),
   (s, level) -> named_struct(
-    'frontier', cast(filter({_MARK.format(nodes=_CHILDREN.format(frontier="s.frontier"))}, c -> c.is_object OR c.is_array) AS {MARKED}),
-    'found', concat(s.found, filter(s.frontier, c -> c.is_object))),
-  s -> s.found)
-"""
+    'frontier', {_containers(_CHILDREN.format(frontier="s.frontier"))},
+    'found', concat(s.found, {kept})),
+  s -> s.found)"""
+
+
+_OBJECT_PATHS = "transform(filter(s.frontier, c -> c.obj IS NOT NULL), c -> named_struct('path', c.path, 'parent', c.parent))"
 
 
 def parsed_documents(jsonld: DataFrame) -> DataFrame:
@@ -78,30 +89,140 @@ def parsed_documents(jsonld: DataFrame) -> DataFrame:
     return rows.distinct().withColumn("doc", F.expr("try_parse_json(value)"))
 
 
-def _python_objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same rows by an iterative walk, for documents beyond the limits of Spark's JSON parser."""
-    for b in batches:
-        out = []
-        for cid, node, value in zip(b.content_id, b.node_index, b.value):
-            try:
-                stack = [("#", "", json.loads(value, parse_int=str, parse_float=str))]
-            except (ValueError, RecursionError):
-                continue
-            while stack:
-                path, parent, x = stack.pop()
-                if isinstance(x, dict):
-                    out.append((cid, node, path, parent))
-                    for k, y in x.items():
-                        stack.append((f"{path}/{k.replace('~', '~0').replace('/', '~1')}", path, y))
-                elif isinstance(x, list):
-                    stack += [(f"{path}/{i}", parent, y) for i, y in enumerate(x)]
-        yield pd.DataFrame(out, columns=["content_id", "node_index", "obj_path", "parent_path"])
-
-
-def walked(jsonld: DataFrame) -> DataFrame:
-    """``content_id, node_index, found``: every document with the array of its objects and their values."""
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+
+
+class Number(str):
+    """A number as it is written."""
+
+
+def read_json(text: str) -> Any:
+    """The value of a JSON text, read with a stack of its own, so that no depth is too much. Numbers keep their text.
+
+    Raises ``ValueError`` where the text is no JSON.
+    """
+    at, stack, out = _SPACE.match(text, 0).end(), [], []
+    # A stack entry is the container and the key at which its next value goes; ``out`` is the outermost one.
+    holder: Any = out
+    key: str | None = None
+
+    def take_key(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError("a name is missing")
+        name, at = scanstring(text, at + 1, True)
+        at = _SPACE.match(text, at).end()
+        if text[at : at + 1] != ":":
+            raise ValueError("a colon is missing")
+        return name, _SPACE.match(text, at + 1).end()
+
+    while True:
+        c, opened = text[at : at + 1], None
+        if c == "{" or c == "[":
+            value: Any = {} if c == "{" else []
+            at = _SPACE.match(text, at + 1).end()
+            if text[at : at + 1] == ("}" if c == "{" else "]"):
+                at += 1
+            else:
+                opened = value
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        else:
+            m = _SCALAR.match(text, at)
+            if not m:
+                raise ValueError("a value is missing")
+            word, at = m.group(), m.end()
+            value = {"true": True, "false": False, "null": None}.get(word, Number(word))
+        if isinstance(holder, dict):
+            holder[key] = value
+        else:
+            holder.append(value)
+        if opened is not None:
+            stack.append(holder)
+            holder = opened
+            if isinstance(opened, dict):
+                key, at = take_key(at)
+            continue
+        at = _SPACE.match(text, at).end()
+        while stack and text[at : at + 1] == ("}" if isinstance(holder, dict) else "]"):
+            holder, at = stack.pop(), _SPACE.match(text, at + 1).end()
+        if not stack:
+            if at != len(text):
+                raise ValueError("text after the value")
+            return out[0]
+        if text[at : at + 1] != ",":
+            raise ValueError("a comma is missing")
+        at = _SPACE.match(text, at + 1).end()
+        if isinstance(holder, dict):
+            key, at = take_key(at)
+
+
+def _scalar(x: Any) -> tuple[str, str | None]:
+    if x is None:
+        return "null", None
+    if isinstance(x, bool):
+        return "boolean", "true" if x else "false"
+    return ("number" if isinstance(x, Number) else "string"), str(x)
+
+
+def _rows(doc: Any) -> Iterator[tuple[str, str, str | None, str | None, int | None, str | None, str | None, str | None]]:
+    """``part, obj_path, parent_path, field, type_no, place, kind, text`` of one document for all tables, by a stack."""
+    stack = [("#", "", "", "", doc)]
+    while stack:
+        path, parent, field, place, x = stack.pop()
+        if isinstance(x, dict):
+            yield "object", path, parent, None, None, None, None, None
+            types = x.get("@type")
+            for i, t in enumerate(types if isinstance(types, list) else [types]):
+                if _scalar(t)[0] == "string" and not isinstance(t, (dict, list)):
+                    yield "type", path, None, None, i, None, None, t
+            for k, y in x.items():
+                if isinstance(y, (dict, list)):
+                    stack.append((f"{path}/{k.replace('~', '~0').replace('/', '~1')}", path, k, "", y))
+                else:
+                    yield "field", path, None, k, None, None, *_scalar(y)
+        elif isinstance(x, list):
+            for i, y in enumerate(x):
+                at = f"{place}/{i}" if place else str(i)
+                if isinstance(y, (dict, list)):
+                    stack.append((f"{path}/{i}", parent, field, at, y))
+                else:
+                    yield "element", parent, None, field, None, at, *_scalar(y)
+
+
+_COLUMNS = {"object": "obj_path, parent_path", "type": "obj_path, type_no, text AS obj_type", "field": "obj_path, field, kind, text", "element": "obj_path, field, place, kind, text"}
+
+
+def _odd(jsonld: DataFrame, part: str) -> DataFrame:
+    """The rows of one table from the documents that Spark's parser does not take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cid, node, value in zip(*(b.column(i).to_pylist() for i in range(3))):
+                try:
+                    rows = [r[1:] for r in _rows(read_json(value)) if r[0] == part]
+                except ValueError:
+                    continue
+                columns = list(zip(*rows)) or [()] * 7
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+                arrays = [pa.array([cid] * len(rows), pa.string()), pa.array([node] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["content_id", "node_index", "obj_path", "parent_path", "field", "type_no", "place", "kind", "text"])
+
+    schema = "content_id string, node_index int, obj_path string, parent_path string, field string, type_no int, place string, kind string, text string"
+    odd = parsed_documents(jsonld).where("doc IS NULL").selectExpr("cast(content_id AS string) AS content_id", "cast(node_index AS int) AS node_index", "value")
+    return odd.mapInArrow(run, schema).selectExpr("content_id", "node_index", *_COLUMNS[part].split(", "))
+
+
+def walked(jsonld: DataFrame, kept: str = "s.frontier", kind: str = NODES) -> DataFrame:
+    """``content_id, node_index, found``: every document with the array of its objects and arrays, each with the path of
+    the nearest object around it, the field it stands in and its place there."""
     docs = parsed_documents(jsonld).where("doc IS NOT NULL").withColumn("depth", F.expr(_DEPTH)).where("depth > 0")
-    return docs.select("content_id", "node_index", F.expr(_WALK).alias("found"))
+    return docs.select("content_id", "node_index", F.expr(_walk(kept, kind)).alias("found"))
+
+
+def _table(jsonld: DataFrame, part: str, rows: str) -> DataFrame:
+    flat = walked(jsonld).select("content_id", "node_index", F.expr(f"inline({rows})"))
+    return flat.unionByName(_odd(jsonld, part)).distinct()
 
 
 def objects(jsonld: DataFrame) -> DataFrame:
@@ -112,14 +233,14 @@ def objects(jsonld: DataFrame) -> DataFrame:
     a ``parse_error`` give no rows; null ids are kept as they are. Text that holds JSON stays text. Other columns are
     not read. An empty table gives an empty result.
     """
-    flat = walked(jsonld).select(
-        "content_id",
-        "node_index",
-        F.expr("inline(transform(found, c -> named_struct('obj_path', c.path, 'parent_path', c.parent)))"),
-    )
-    odd = parsed_documents(jsonld).where("doc IS NULL").select("content_id", "node_index", "value")
-    ids = "content_id string, node_index int, obj_path string, parent_path string"
-    return flat.unionByName(odd.mapInPandas(_python_objects, ids)).distinct()
+    flat = walked(jsonld, _OBJECT_PATHS, PATHS).select("content_id", "node_index", F.expr("inline(found) AS (obj_path, parent_path)"))
+    return flat.unionByName(_odd(jsonld, "object")).distinct()
+
+
+# Whether a value is a scalar, its JSON kind and its text.
+_IS_SCALAR = "try_variant_get({x}, '$', 'map<string,variant>') IS NULL AND try_variant_get({x}, '$', 'array<variant>') IS NULL"
+_KIND = "case schema_of_variant({x}) when 'STRING' then 'string' when 'VOID' then 'null' when 'BOOLEAN' then 'boolean' else 'number' end"
+_TEXT = "if(is_variant_null({x}), null, try_variant_get({x}, '$', 'string'))"
 
 
 def object_types(jsonld: DataFrame) -> DataFrame:
@@ -127,60 +248,47 @@ def object_types(jsonld: DataFrame) -> DataFrame:
 
     ``@type`` may be a string or an array of strings; other kinds give no row, objects without it neither.
     """
-    typed = walked(jsonld).select(
-        "content_id",
-        "node_index",
-        F.expr(
-            """inline(flatten(transform(found, c -> transform(
-                 filter(
-                   transform(
-                     coalesce(try_variant_get(c.v, '$.@type', 'array<variant>'), array(try_variant_get(c.v, '$.@type', 'variant'))),
-                     (x, i) -> named_struct('i', i, 't', if(schema_of_variant(x) = 'STRING', try_variant_get(x, '$', 'string'), null))),
-                   y -> y.t IS NOT NULL),
-                 y -> named_struct('obj_path', c.path, 'type_no', y.i, 'obj_type', y.t)))))"""
-        ),
+    return _table(
+        jsonld,
+        "type",
+        """flatten(transform(filter(found, c -> c.obj IS NOT NULL), c -> transform(
+             filter(
+               transform(
+                 coalesce(try_variant_get(try_element_at(c.obj, '@type'), '$', 'array<variant>'), array(try_element_at(c.obj, '@type'))),
+                 (x, i) -> named_struct('i', i, 't', if(schema_of_variant(x) = 'STRING', try_variant_get(x, '$', 'string'), null))),
+               y -> y.t IS NOT NULL),
+             y -> named_struct('obj_path', c.path, 'type_no', y.i, 'obj_type', y.t))))""",
     )
-    return typed.distinct()
 
 
 def fields(jsonld: DataFrame) -> DataFrame:
     """One row for each scalar field of each object: keys of ``objects``, ``field``, ``kind``, ``text``.
 
-    ``kind`` is Spark's name of the scalar's type (VOID for JSON null, whose ``text`` is null). Fields that hold
-    objects or arrays are rows of ``objects`` and ``elements`` instead.
+    ``kind`` is string, number, boolean or null (whose ``text`` is null). Fields that hold objects or arrays are rows
+    of ``objects`` and ``elements`` instead.
     """
-    flat = walked(jsonld).select(
-        "content_id",
-        "node_index",
-        F.expr(
-            """inline(flatten(transform(found, c -> transform(
-                 filter(map_entries(try_variant_get(c.v, '$', 'map<string,variant>')), e ->
-                   try_variant_get(e.value, '$', 'map<string,variant>') IS NULL
-                   AND try_variant_get(e.value, '$', 'array<variant>') IS NULL),
-                 e -> named_struct('obj_path', c.path, 'field', e.key,
-                   'kind', regexp_extract(schema_of_variant(e.value), '^[A-Z]+', 0),
-                   'text', if(is_variant_null(e.value), null, try_variant_get(e.value, '$', 'string')))))))"""
-        ),
+    x = "e.value"
+    return _table(
+        jsonld,
+        "field",
+        f"""flatten(transform(filter(found, c -> c.obj IS NOT NULL), c -> transform(
+              filter(map_entries(c.obj), e -> {_IS_SCALAR.format(x=x)}),
+              e -> named_struct('obj_path', c.path, 'field', e.key, 'kind', {_KIND.format(x=x)}, 'text', {_TEXT.format(x=x)}))))""",
     )
-    return flat.distinct()
 
 
 def elements(jsonld: DataFrame) -> DataFrame:
-    """One row for each scalar standing directly in an array field: keys of ``objects``, ``field``, ``place``, ``text``."""
-    flat = walked(jsonld).select(
-        "content_id",
-        "node_index",
-        F.expr(
-            """inline(flatten(transform(found, c -> flatten(transform(
-                 map_entries(try_variant_get(c.v, '$', 'map<string,variant>')),
-                 e -> transform(
-                   filter(
-                     transform(coalesce(try_variant_get(e.value, '$', 'array<variant>'), array()),
-                       (x, i) -> named_struct('i', i, 'x', x)),
-                     y -> try_variant_get(y.x, '$', 'map<string,variant>') IS NULL
-                       AND try_variant_get(y.x, '$', 'array<variant>') IS NULL),
-                   y -> named_struct('obj_path', c.path, 'field', e.key, 'place', y.i,
-                     'text', if(is_variant_null(y.x), null, try_variant_get(y.x, '$', 'string')))))))))"""
-        ),
+    """One row for each scalar that stands in an array: ``obj_path, field, place, kind, text`` with the ids.
+
+    ``obj_path`` is the nearest object around the array and ``field`` its field that holds the array, both '' for an
+    array at the top; ``place`` are the places from there on, joined by ``/`` where arrays stand in arrays.
+    """
+    x = "y.x"
+    return _table(
+        jsonld,
+        "element",
+        f"""flatten(transform(filter(found, c -> c.arr IS NOT NULL), c -> transform(
+              filter(transform(c.arr, (x, i) -> named_struct('i', cast(i AS string), 'x', x)), y -> {_IS_SCALAR.format(x=x)}),
+              y -> named_struct('obj_path', c.parent, 'field', c.field, 'place', if(c.place = '', y.i, concat(c.place, '/', y.i)),
+                'kind', {_KIND.format(x=x)}, 'text', {_TEXT.format(x=x)}))))""",
     )
-    return flat.distinct()

@@ -2,7 +2,8 @@
 
 Heavy hitters are found by a frequent-items sketch that is combined map-side, verified by an exact count of the
 candidates, and then processed apart: the heavy keys meet their (at most ``1 / share``) dimension rows by a broadcast
-join and are aggregated per key and salt, all other keys go through one ordinary shuffle, and the two are united.
+join (``join_by_key``) or are aggregated per key and salt (``aggregate_by_key``), all other keys go through one ordinary
+shuffle, and the two are united.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlake.session import cut
+
 #: Counters of the sketch per requested heavy key. The sketch's count error is below 4 rows in each
 #: ``SKETCH_FACTOR / share`` rows, so that no key at or above the share can be missing among the first candidates.
 SKETCH_FACTOR = 256
@@ -97,8 +100,9 @@ def aggregate_by_key(
 
     cold = marked.where(~is_hot).groupBy("_key").agg(*first([F.countDistinct(f"_d_{n}").alias(f"_d_{n}") for n in distinct]))
     hot_rows = marked.where(is_hot)
-    # Salted by the value counted: each distinct value falls under one salt, so the counts of the salts add up.
-    salt = F.pmod(F.xxhash64(*[f"_d_{n}" for n in distinct]) if distinct else F.xxhash64(*parts), F.lit(SALTS))
+    # Salted by the value counted: each distinct value falls under one salt, so the counts of the salts add up. Without
+    # one, rows stay with the salt of the part of the table they were read from.
+    salt = F.pmod(F.xxhash64(*[f"_d_{n}" for n in distinct]) if distinct else F.spark_partition_id(), F.lit(SALTS))
     if len(distinct) > 1:
         raise ValueError("one distinct count at a time: each needs a salt of its own")
     spread = (
@@ -108,3 +112,22 @@ def aggregate_by_key(
     )
     hot = spread.groupBy("_key").agg(*first([F.sum(f"_d_{n}").alias(f"_d_{n}") for n in distinct]))
     return last(cold, False).unionByName(last(hot, True))
+
+
+def join_by_key(facts: DataFrame, key: str, dimension: DataFrame, dimension_key: str, share: float = 1 / 40) -> DataFrame:
+    """``facts`` left-joined to a dimension with one row per key at most, heavy keys apart.
+
+    The dimension rows of the heavy keys (at most ``1 / share``) are broadcast to the fact rows of those keys, which
+    therefore stay where they are; all other rows meet the dimension by an ordinary join, and both are united. Rows whose
+    key is null have no partner and pass directly. A dimension that holds a key twice would repeat fact rows, as any join
+    does. Columns of the dimension beside its key are added; of names that both have, the facts' column stays.
+    """
+    heavy = cut(heavy_keys(facts, key, share).select(F.col("key").alias("_heavy")))
+    added = [c for c in dimension.columns if c != dimension_key and c not in facts.columns]
+    d = dimension.select(F.col(dimension_key).alias("_dim"), *added)
+    hot_rows = d.join(F.broadcast(heavy), F.col("_dim") == F.col("_heavy"), "left_semi")
+    of_heavy = F.col(key) == F.col("_heavy")
+    hot = facts.join(F.broadcast(heavy), of_heavy, "left_semi").join(F.broadcast(hot_rows), F.col(key) == F.col("_dim"), "left")
+    cold = facts.where(F.col(key).isNotNull()).join(F.broadcast(heavy), of_heavy, "left_anti").join(d, F.col(key) == F.col("_dim"), "left")
+    none = facts.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(d.schema[c].dataType).alias(c) for c in added])
+    return hot.drop("_dim").unionByName(cold.drop("_dim")).unionByName(none)

@@ -43,6 +43,13 @@ def p5_link_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p5_link_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every link with what the lake has of its target: the captures of that address and the last of them."""
+    pages = table(spark, sf, "capture").groupBy("page_url").agg(F.count_distinct("capture_id").alias("n_captures"), F.max("captured_at").alias("last_at"))
+    links = table(spark, sf, "link").select("capture_id", "node_index", "target_url")
+    return skew.join_by_key(links, "target_url", pages, "page_url", share=HEAVY_SHARE).distinct()
+
+
 def p5_domain_sums(spark: SparkSession, sf: str) -> DataFrame:
     names = ("queued", "dispatched", "started", "unique_queued_urls", "request_queued_urls")
     sums = {"n_rows": F.lit(1).cast("bigint")} | {f"sum_{n}": F.col(n).cast("bigint") for n in names}
@@ -59,8 +66,9 @@ def _streams(spark: SparkSession, sf: str):
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages of which ``deliver_once`` took one copy out of several."""
     a, b = [
-        delivery.repeated_messages(d, mid, "delivery_no").select(F.lit(name).alias("stream"), "message_id")
+        delivery.deliver_once(d, mid, "delivery_no").where("copies > 1").select(F.lit(name).alias("stream"), "message_id")
         for name, d, mid in _streams(spark, sf)
     ]
     return a.unionByName(b)
@@ -77,6 +85,18 @@ def p7_messages(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p7_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same when all but the last batch are stored already and the last one is delivered to them."""
+    parts = []
+    for name, d, mid in _streams(spark, sf):
+        last = d.agg(F.max("batch_no").alias("last"))
+        marked = d.join(F.broadcast(last), F.lit(True))  # one row
+        stored, new = marked.where("batch_no < last").drop("last"), marked.where("NOT coalesce(batch_no < last, false)").drop("last")
+        once = delivery.deliver_once(new, mid, "delivery_no", stored)
+        parts.append(once.select(F.lit(name).alias("stream"), "delivery_no", "message_id", "batch_no", "delivered_at", "copies"))
+    return parts[0].unionByName(parts[1])
+
+
 _COUNTS = """
 SELECT target_url AS key_value, count(*)::BIGINT AS n_rows, count(DISTINCT capture_id)::BIGINT AS n_captures,
   target_url IS NOT NULL AND count(*) >= (SELECT count(target_url) FROM link) / 40.0 AS is_heavy
@@ -109,26 +129,45 @@ WITH named AS (
 ), ids AS (SELECT stream, delivery_no, batch_no, delivered_at, lower(raw) AS message_id FROM named)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_types, p1_fields, p1_elements, p5_found, p5_link_counts, p5_domain_sums, p7_found, p7_messages)}
+_WALK = r"""
+WITH RECURSIVE docs AS (SELECT DISTINCT content_id, node_index, value FROM html_jsonld WHERE parse_error IS NULL AND value IS NOT NULL),
+walk(content_id, node_index, path, parent, field, place, v) AS (
+  SELECT content_id, node_index, '#', '', '', '', value::JSON FROM docs
+  UNION ALL
+  SELECT w.content_id, w.node_index, w.path || '/' || replace(replace(c.k, '~', '~0'), '/', '~1'), CASE WHEN json_type(w.v) = 'OBJECT' THEN w.path ELSE w.parent END,
+    CASE WHEN json_type(w.v) = 'OBJECT' THEN c.k ELSE w.field END, CASE WHEN json_type(w.v) = 'OBJECT' THEN '' WHEN w.place = '' THEN c.k ELSE w.place || '/' || c.k END, c.v
+  FROM walk w, LATERAL (SELECT e.key AS k, e.value AS v FROM json_each(w.v) e) c
+  WHERE json_type(w.v) IN ('OBJECT', 'ARRAY') AND json_type(c.v) IN ('OBJECT', 'ARRAY'))
+"""
+_KIND = "CASE json_type(e.value) WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END"
+_TEXT = r"CASE WHEN json_type(e.value) = 'DOUBLE' AND NOT regexp_matches(e.value::VARCHAR, '[eE]') THEN regexp_replace(e.value::VARCHAR, '\.?0+$', '') ELSE json_extract_string(e.value, '$') END"
+
+_ONCE = """SELECT stream, delivery_no, message_id, batch_no, delivered_at, copies FROM (
+      SELECT *, count(*) OVER (PARTITION BY stream, message_id)::BIGINT AS copies,
+        row_number() OVER (PARTITION BY stream, message_id ORDER BY delivery_no) AS rn FROM ids WHERE message_id IS NOT NULL)
+    WHERE rn = 1"""
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_types, p1_fields, p1_elements, p5_found, p5_link_counts, p5_domain_sums, p7_found, p7_messages, p7_stored, p5_link_targets)}
 
 ORACLES = {
     "p5_found": _HEAVY,
     "p5_link_counts": _COUNTS,
     "p5_domain_sums": _SUMS,
     "p7_found": _NAMED + "SELECT stream, message_id FROM ids WHERE message_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
-    "p7_messages": _NAMED
-    + """SELECT stream, delivery_no, message_id, batch_no, delivered_at, copies FROM (
-      SELECT *, count(*) OVER (PARTITION BY stream, message_id)::BIGINT AS copies,
-        row_number() OVER (PARTITION BY stream, message_id ORDER BY delivery_no) AS rn FROM ids WHERE message_id IS NOT NULL)
-    WHERE rn = 1""",
-    "p1_found": r"""
-WITH RECURSIVE docs AS (SELECT DISTINCT content_id, node_index, value FROM html_jsonld WHERE parse_error IS NULL AND value IS NOT NULL),
-walk(content_id, node_index, path, parent, v) AS (
-  SELECT content_id, node_index, '#', '', value::JSON FROM docs
-  UNION ALL
-  SELECT w.content_id, w.node_index, w.path || '/' || c.k, CASE WHEN json_type(w.v) = 'OBJECT' THEN w.path ELSE w.parent END, c.v
-  FROM walk w, LATERAL (
-    SELECT replace(replace(e.key, '~', '~0'), '/', '~1') AS k, e.value AS v FROM json_each(w.v) e) c
-  WHERE json_type(w.v) IN ('OBJECT', 'ARRAY') AND json_type(c.v) IN ('OBJECT', 'ARRAY'))
-SELECT DISTINCT content_id, node_index, path AS obj_path, parent AS parent_path FROM walk WHERE json_type(v) = 'OBJECT'""",
+    "p7_messages": _NAMED + _ONCE,
+    "p7_stored": _NAMED + _ONCE,
+    "p5_link_targets": """
+WITH d AS (SELECT page_url, count(DISTINCT capture_id) AS n_captures, max(captured_at) AS last_at FROM capture GROUP BY 1)
+SELECT DISTINCT capture_id, node_index, target_url, n_captures, last_at FROM link LEFT JOIN d ON target_url = page_url""",
+    "p1_found": _WALK + "SELECT DISTINCT content_id, node_index, path AS obj_path, parent AS parent_path FROM walk WHERE json_type(v) = 'OBJECT'",
+    "p1_types": _WALK
+    + """SELECT DISTINCT content_id, node_index, path AS obj_path, e.key::INT AS type_no, json_extract_string(e.value, '$') AS obj_type
+FROM walk, LATERAL (SELECT key, value FROM json_each(CASE WHEN json_type(v, '$."@type"') = 'ARRAY' THEN v->'$."@type"' ELSE json_array(v->'$."@type"') END)) e
+WHERE json_type(v) = 'OBJECT' AND json_type(e.value) = 'VARCHAR'""",
+    "p1_fields": _WALK
+    + f"""SELECT DISTINCT content_id, node_index, path AS obj_path, e.key AS field, {_KIND} AS kind, {_TEXT} AS text
+FROM walk, LATERAL (SELECT key, value FROM json_each(v)) e WHERE json_type(v) = 'OBJECT' AND json_type(e.value) NOT IN ('OBJECT', 'ARRAY')""",
+    "p1_elements": _WALK
+    + f"""SELECT DISTINCT content_id, node_index, parent AS obj_path, field, CASE WHEN place = '' THEN e.key ELSE place || '/' || e.key END AS place, {_KIND} AS kind, {_TEXT} AS text
+FROM walk, LATERAL (SELECT key, value FROM json_each(v)) e WHERE json_type(v) = 'ARRAY' AND json_type(e.value) NOT IN ('OBJECT', 'ARRAY')""",
 }

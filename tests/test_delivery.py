@@ -24,7 +24,7 @@ def test_once(spark):
     df = spark.createDataFrame(data, "delivery_no bigint, message_id string, copies int")
     got = {r.delivery_no: (r.message_id, r.copies) for r in delivery.deliver_once(df, delivery.canonical_message_id(F.col("message_id")), "delivery_no").collect()}
     assert got == {1: (f"observation:{U}", 2), 2: ("x", 1), 4: (None, 1), 5: (None, 1), 6: ("y", 2)}
-    rep = {r.message_id: r.n for r in delivery.repeated_messages(df, delivery.canonical_message_id(F.col("message_id")), "delivery_no").collect()}
+    rep = {r.message_id: r.n for r in delivery.repeated_messages(df, delivery.canonical_message_id(F.col("message_id"))).collect()}
     assert rep == {f"observation:{U}": 2, "y": 2}
     assert delivery.deliver_once(df.limit(0), F.col("message_id"), "delivery_no").count() == 0
 
@@ -40,3 +40,19 @@ def test_work_ids(spark):
     df = spark.createDataFrame([(f"{{{U}}}", 1), (U.upper(), 1), (None, 1), (U, None), (" ", 2)], "a string, g int")
     got = [r[0] for r in df.select(delivery.work_message_id(F.col("a"), F.col("g"))).collect()]
     assert got == [f"capture:{U}:1", f"capture:{U}:1", None, None, None]
+
+
+def test_copies_alike_and_without_numbers(spark):
+    data = [(1, "a", "x"), (1, "a", "x"), (None, "b", "y"), (None, "c", "z"), (7, "c", "w"), (7, "c", "v"), (9, "d", None)]
+    df = spark.createDataFrame(data, "delivery_no bigint, message_id string, `pay load` string").withColumn("m", F.create_map(F.lit("k"), F.col("message_id")))
+    got = sorted((r.message_id, r.delivery_no, r.copies) for r in delivery.deliver_once(df, F.col("message_id"), "delivery_no").collect())
+    assert got == [("a", 1, 2), ("b", None, 1), ("c", 7, 3), ("d", 9, 1)]
+    both = delivery.deliver_once(df, F.col("message_id"), "delivery_no", df)
+    assert sorted((r.message_id, r.copies) for r in both.collect()) == [("a", 4), ("b", 2), ("c", 6), ("d", 2)]
+    assert {r["pay load"] for r in delivery.deliver_once(df, F.col("message_id"), "delivery_no").where("message_id = 'c'").collect()} <= {"v", "w"}
+
+
+def test_a_hot_message(spark):
+    df = spark.range(3000).selectExpr("id AS delivery_no", "if(id % 3 = 0, 'hot', concat('m', id % 900)) AS message_id")
+    got = {r.message_id: (r.delivery_no, r.copies) for r in delivery.deliver_once(df, F.col("message_id"), "delivery_no").collect()}
+    assert got["hot"] == (0, 1000) and len(got) == 601 and sum(c for _, c in got.values()) == 3000

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
 NAMES = (
-    "p1_found", "p5_found", "p5_link_counts", "p5_domain_sums", "p7_found", "p7_messages", "ref_page", "ref_html_metadata", "ref_search", "ref_velocity",
+    "p1_found", "p1_types", "p1_fields", "p1_elements", "p7_stored", "p5_link_targets", "p5_found", "p5_link_counts", "p5_domain_sums", "p7_found", "p7_messages", "ref_page", "ref_html_metadata", "ref_search", "ref_velocity",
     "ref_identity_checks", "sql_f10_alias_in_where", "sql_f11b_qualify_alias", "sql_h11_array_agg", "sql_h19_distinct_on", "sql_l4_lists", "stream_windows", "case_latest_products",
 )
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")

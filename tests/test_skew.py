@@ -29,3 +29,11 @@ def test_sums_and_distincts(spark):
     assert {k: (r.n, r.s, r.d) for k, r in got.items()} == {k: (n[k], s[k], len(d[k])) for k in n}
     assert got["a"].is_heavy and not got[None].is_heavy
     assert skew.aggregate_by_key(df.limit(0), "k", {"n": F.lit(1)}).count() == 0
+
+
+def test_join_by_key(spark):
+    facts = spark.createDataFrame([("hot" if i % 2 else None if i % 50 == 0 else f"k{i % 70}", i) for i in range(2000)], "k string, v int")
+    dim = spark.createDataFrame([("hot", "h", 1), *[(f"k{i}", f"d{i}", i) for i in range(0, 70, 4)]], "key string, name string, v int")
+    got = sorted(tuple(r) for r in skew.join_by_key(facts, "k", dim, "key").fillna("-").collect())
+    assert got == sorted(tuple(r) for r in facts.join(dim.select(F.col("key").alias("k"), "name"), "k", "left").select("k", "v", "name").fillna("-").collect())
+    assert skew.join_by_key(facts.limit(0), "k", dim, "key").count() == 0
