@@ -2,8 +2,9 @@
 
 A content is a row of its lines in document order, each with the hash of its wording. Over all contents of a site the
 lines are the nodes and consecutive lines the edges of a weighted graph; the weight is the number of contents. Nodes
-and edges of high support stay, their connected components are the site's boilerplate blocks, and every occurrence of
-a line of a block is deleted.
+and edges of high support stay, their connected components are the site's boilerplate blocks. A page is matched against
+the blocks as sequences: an occurrence is a run of consecutive lines of one block, and occurrences are deleted. A line
+that is repeated without steady neighbours is a block of its own.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm import pages
+from cairnlake.llm.words import mixed
 from cairnlake.session import cut, written
 
 #: A wording is repeated excessively from so many contents of its site ...
@@ -147,24 +150,64 @@ def blocks(contents: DataFrame) -> DataFrame:
     return kept.groupBy("site").applyInPandas(_components, "site string, words array<bigint>, block array<bigint>")
 
 
+def _look(values: np.ndarray, of: np.ndarray, keys: pa.ListArray, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``found`` has beside each value in the list ``keys`` of its page, and whether it is there."""
+    sizes = pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False)
+    page = np.repeat(np.arange(len(keys)), sizes).astype(np.uint64)
+    k, v = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (keys, found))
+    there = mixed(page, k.view(np.uint64))
+    order = np.argsort(there)
+    there, v = there[order], v[order]
+    want = mixed(of.astype(np.uint64), values.view(np.uint64))
+    if not len(there):
+        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+    at = np.minimum(np.searchsorted(there, want), len(there) - 1)
+    return v[at], there[at] == want
+
+
+def _occurrences(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of each line of a batch of contents (``node, h, words, block`` in columns 2 to 5): its content, node, hash, the
+    block it belongs to, whether it belongs to any, and the first node of its run."""
+    sizes = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(b)), sizes)
+    node, h = (b.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+    block, there = _look(h, of, b.column(4), b.column(5))
+    goes_on = np.concatenate([[False], there[1:] & there[:-1] & (block[1:] == block[:-1]) & (of[1:] == of[:-1])]) if len(of) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(of)))) if len(of) else np.zeros(0, np.int64)
+    return of, node, h, block, there, node[start]
+
+
 def repeated(elements: DataFrame, capture: DataFrame) -> DataFrame:
-    """``content_id, node_index, site, block``: the lines repeated excessively within their site.
+    """``content_id, node_index, site, block, block_lines, first_node``: the lines repeated excessively within their site.
 
-    Lines, wordings and sites are those of the data's terms; a content stored or captured several times counts once.
-    Contents without a capture belong to no site and give no rows; a null text is no line. Empty tables give none.
+    ``block`` names the block among the site's, ``block_lines`` is its number of wordings, and ``first_node`` the first
+    line of the occurrence, a run of consecutive lines of one block. Lines, wordings and sites are those of the data's
+    terms; a content stored or captured several times counts once. Contents without a capture belong to no site and
+    give no rows; a null text is no line. Empty tables give none.
     """
     contents = written(sited(lines(elements), capture), "site-lines")
-    found = with_site(contents, blocks(contents), "inner").select(
-        "content_id",
-        "site",
-        F.inline(F.expr("filter(transform(node, (x, k) -> named_struct('node_index', x, 'at', array_position(words, h[k]))), z -> z.at > 0)")),
-        "block",
-    )
-    return found.select("content_id", "node_index", "site", F.element_at("block", F.col("at").cast("int")).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, node, _, block, there, first = _occurrences(b)
+            of, node, block, first = of[there], node[there], block[there], first[there]
+            # The wordings of a site's block, counted in its list.
+            sizes = pc.list_value_length(b.column(5)).to_numpy(zero_copy_only=False)
+            key = mixed(np.repeat(np.arange(len(b)), sizes).astype(np.uint64), b.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            names, n = np.unique(key, return_counts=True)
+            many = n[np.searchsorted(names, mixed(of.astype(np.uint64), block.view(np.uint64)))] if len(names) else np.zeros(0, np.int64)
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), pa.array(node.astype(np.int32)), b.column(1).take(take), pa.array(block), pa.array(many.astype(np.int32)), pa.array(first.astype(np.int32))],
+                names=["content_id", "node_index", "site", "block", "block_lines", "first_node"],
+            )
+
+    met = with_site(contents, blocks(contents), "inner").select("content_id", "site", "node", "h", "words", "block")
+    return met.mapInArrow(run, "content_id string, node_index int, site string, block bigint, block_lines int, first_node int")
 
 
 def cleaned(elements: DataFrame, capture: DataFrame) -> DataFrame:
-    """``content_id, text``: each content's lines without those repeated within its site, joined by line feeds.
+    """``content_id, site, text``: each content's lines without the occurrences of its site's blocks, joined by line feeds.
 
     A content of which nothing is left has an empty text; contents without a capture keep all their lines.
     """
@@ -183,8 +226,16 @@ def cleaned(elements: DataFrame, capture: DataFrame) -> DataFrame:
                 plain = pa.array([" ".join(t.split()) for t in text], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _lists(offsets, pa.array(h)), _lists(offsets, plain)], names=["content_id", "site", "h", "t"])
 
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, _, _, _, there, _ = _occurrences(b)
+            texts: list[list[str]] = [[] for _ in range(len(b))]
+            at = np.flatnonzero(~there)
+            for p, t in zip(of[at].tolist(), b.column(6).flatten().take(pa.array(at)).to_pylist()):
+                texts[p].append(t)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(["\n".join(t) for t in texts], pa.string())], names=["content_id", "site", "text"])
+
     gathered = pages.whole_pages(elements).join(sites, "content_id", "left").select("content_id", "e", "site")
     contents = written(gathered.mapInArrow(run, "content_id string, site string, h array<bigint>, t array<string>"), "site-texts")
-    marked = with_site(contents, blocks(contents.where("site IS NOT NULL")), "left")
-    left = F.expr("filter(t, (x, k) -> words IS NULL OR array_position(words, h[k]) = 0)")
-    return marked.select("content_id", "site", F.array_join(left, "\n").alias("text"))
+    met = with_site(contents, blocks(contents.where("site IS NOT NULL")), "left").select("content_id", "site", F.col("h").alias("node"), "h", "words", "block", "t")
+    return met.mapInArrow(left, "content_id string, site string, text string")

@@ -15,7 +15,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return boilerplate.repeated(table(spark, sf, "html_element"), table(spark, sf, "capture"))
+    """The occurrences of boilerplate blocks: each line with the first line of its run and the size of its block."""
+    found = boilerplate.repeated(table(spark, sf, "html_element"), table(spark, sf, "capture"))
+    return found.select("content_id", "node_index", "site", "first_node", "block_lines").distinct()
 
 
 def p2_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +98,30 @@ repeated AS (
   GROUP BY site, wording, n HAVING count(DISTINCT content_id) >= 4 AND 4 * count(DISTINCT content_id) >= n
 )"""
 
+_BLOCKS = """, kept AS (SELECT site, wording FROM repeated),
+steps AS (SELECT content_id, wording AS a, lead(wording) OVER (PARTITION BY content_id ORDER BY node_index) AS b FROM lines),
+edges AS (
+  SELECT site, a, b FROM steps JOIN site USING (content_id) JOIN total USING (site) WHERE b IS NOT NULL
+  GROUP BY site, a, b, n HAVING count(DISTINCT content_id) >= 4 AND 4 * count(DISTINCT content_id) >= n
+), linked AS (SELECT site, a, b FROM edges UNION SELECT site, b, a FROM edges),
+reach(site, w, r) AS (SELECT site, wording, wording FROM kept UNION SELECT reach.site, linked.b, reach.r FROM reach JOIN linked ON linked.site = reach.site AND linked.a = reach.w),
+block AS (SELECT site, w AS wording, min(r) AS block FROM reach GROUP BY ALL),
+sized AS (SELECT site, block, count(*)::INT AS block_lines FROM block GROUP BY ALL),
+marked AS (
+  SELECT content_id, site, node_index, block, block IS DISTINCT FROM lag(block) OVER w OR lag(block) OVER w IS NULL AS opens
+  FROM lines JOIN site USING (content_id) LEFT JOIN block USING (site, wording) WINDOW w AS (PARTITION BY content_id, site ORDER BY node_index)
+), runs AS (SELECT *, max(CASE WHEN opens THEN node_index END) OVER (PARTITION BY content_id, site ORDER BY node_index) AS first_node FROM marked)"""
+
 ORACLES = {
-    "p2_found": _LINES + """
+    "p2_found": _LINES
+    + """
 SELECT DISTINCT content_id, node_index FROM lines JOIN site USING (content_id) JOIN repeated USING (site, wording)""",
+    "p2_blocks": _LINES.replace("WITH el", "WITH RECURSIVE el", 1)
+    + _BLOCKS
+    + """
+SELECT DISTINCT content_id, node_index, site, first_node, block_lines FROM runs JOIN sized USING (site, block)""",
+    "p2_texts": _LINES.replace("AS wording", "AS wording, trim(regexp_replace(text, '" + _SPACE + "+', ' ', 'g')) AS plain", 1)
+    + """, every AS (SELECT DISTINCT content_id FROM el), sited AS (SELECT content_id, site FROM every LEFT JOIN site USING (content_id))
+SELECT content_id, s.site, coalesce(string_agg(plain, chr(10) ORDER BY node_index) FILTER (WHERE r.wording IS NULL AND l.wording IS NOT NULL), '') AS text
+FROM sited s LEFT JOIN lines l USING (content_id) LEFT JOIN repeated r ON r.site = s.site AND r.wording = l.wording GROUP BY content_id, s.site""",
 }
