@@ -32,15 +32,24 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; only where none is named, a temporary one of this machine."""
+    """The shared checkpoint folder of the session. Where none is named, a local session gets a temporary one of this
+    machine; on a cluster that is an error, since executors would not see each other's files."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairnlake-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables this application has written to the checkpoint folder; results that read them are void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; a lost executor never forces the plan above to run again."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -50,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder and read again; its lineage ends there."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     (df.repartition(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,21 +2,25 @@
 
 A snapshot is one JSON manifest that names the files of every table; it becomes current when its file appears, by an
 atomic create, so a commit of many tables is all or nothing and readers of an older manifest are never disturbed.
-Idempotent appends compare new rows with stored ones by join; nothing of the data passes through the driver.
+Idempotent appends compare new rows with stored ones by join; nothing of the data passes through the driver. Manifests
+and receipts are reached through Hadoop's file systems, like the data.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.schemas import TABLES, conform, null_violations
+from cairnlake.session import cut
+from cairnlake.sources.files import Folder
 
 
 class EvidenceConflict(ValueError):
@@ -27,48 +31,71 @@ class CommitConflict(RuntimeError):
     """Another commit made the expected next snapshot first."""
 
 
+class RewrittenRange(ValueError):
+    """Between two snapshots a table was rewritten, so that its new files are not its new rows."""
+
+
 @dataclass
 class Manifest:
+    """``rewritten`` has the last snapshot in which a table's stored files were replaced."""
+
     version: int
     tables: dict[str, list[str]]
-    receipts: list[str] = field(default_factory=list)
+    receipt: str | None = None
     message: str = ""
+    rewritten: dict[str, int] = field(default_factory=dict)
 
 
 class Lake:
-    """Tables below ``root``, a folder all executors share; the manifest folder is reached by the driver alone."""
+    """Tables below ``root``, a folder that the driver and all executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        Path(self.root, "manifests").mkdir(parents=True, exist_ok=True)
+        self._manifests, self._receipts, self._files = (Folder(spark, f"{self.root}{x}") for x in ("/manifests", "/receipts", ""))
 
     # -- snapshots ------------------------------------------------------------------------------------------------
     def versions(self) -> list[int]:
-        return sorted(int(p.stem) for p in Path(self.root, "manifests").glob("[0-9]*.json"))
+        return sorted(int(n[:-5]) for n in self._manifests.names() if n.endswith(".json") and n[:-5].isdigit())
 
     def manifest(self, version: int | None = None) -> Manifest:
         """A snapshot's manifest; the current one without a number, an empty one before the first commit."""
-        known = self.versions()
         if version is None:
+            known = self.versions()
             version = known[-1] if known else 0
         if version == 0:
             return Manifest(0, {})
-        return Manifest(**json.loads(Path(self.root, "manifests", f"{version:012d}.json").read_text()))
+        return Manifest(**json.loads(self._manifests.read(f"{version:012d}.json")))
 
-    def commit(self, base: Manifest, tables: dict[str, list[str]], receipt: str | None = None, message: str = "") -> Manifest:
+    def commit(self, base: Manifest, tables: dict[str, list[str]], receipt: str | None = None, message: str = "", rewritten: Sequence[str] = ()) -> Manifest:
         """Publishes the next snapshot; fails if another writer was first."""
-        new = Manifest(base.version + 1, tables, [*base.receipts, *([receipt] if receipt else [])], message)
-        final = Path(self.root, "manifests", f"{new.version:012d}.json")
-        temporary = final.with_suffix(f".{uuid.uuid4().hex}")
-        temporary.write_text(json.dumps(new.__dict__))
+        version = base.version + 1
+        new = Manifest(version, tables, receipt, message, base.rewritten | dict.fromkeys(rewritten, version))
+        if receipt is not None:
+            # The receipt names its snapshot first; it counts only once that snapshot is there and names the receipt.
+            self._receipts.create(self._receipt_name(receipt), str(version), replace=True)
         try:
-            final.hardlink_to(temporary)  # fails if the version exists
+            self._manifests.create(f"{version:012d}.json", json.dumps(new.__dict__))
         except FileExistsError:
-            raise CommitConflict(f"snapshot {new.version} exists") from None
-        finally:
-            temporary.unlink()
+            raise CommitConflict(f"snapshot {version} exists") from None
         return new
 
+    @staticmethod
+    def _receipt_name(receipt: str) -> str:
+        return hashlib.sha256(receipt.encode()).hexdigest()
+
+    def committed(self, receipt: str) -> bool:
+        """Whether a commit under this receipt was published; two small files are read, however long the history."""
+        name = self._receipt_name(receipt)
+        if not self._receipts.exists(name):
+            return False
+        version = int(self._receipts.read(name))
+        return self._manifests.exists(f"{version:012d}.json") and self.manifest(version).receipt == receipt
+
+    def snapshots(self) -> DataFrame:
+        """``version, message, table_name, folders`` of all snapshots."""
+        rows = [(m.version, m.message, t, len(fs)) for m in map(self.manifest, self.versions()) for t, fs in m.tables.items()]
+        return self.spark.createDataFrame(rows, "version bigint, message string, table_name string, folders bigint")
+
     # -- reads ----------------------------------------------------------------------------------------------------
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """A table at a snapshot, the current one without a number. A table without files is empty."""
@@ -79,26 +106,32 @@ class Lake:
         return self.spark.read.schema(schema).parquet(*files)
 
     def changes(self, name: str, after: int, to: int | None = None) -> DataFrame:
-        """The rows inserted into a table after one snapshot up to another."""
-        old, new = set(self.manifest(after).tables.get(name, [])), self.manifest(to).tables.get(name, [])
+        """The rows inserted into a table after one snapshot up to another. Only appends may lie between them."""
+        until = self.manifest(to)
+        if after < until.rewritten.get(name, 0):
+            raise RewrittenRange(f"{name} was rewritten in snapshot {until.rewritten[name]}")
+        old, new = set(self.manifest(after).tables.get(name, [])), until.tables.get(name, [])
         files = [f for f in new if f not in old]
         schema = TABLES[name].schema
         return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
 
     def inventory(self) -> DataFrame:
         """``table_name, files, bytes`` of the current snapshot, from file status alone."""
-        rows = [(t, len(fs), sum(p.stat().st_size for f in fs for p in Path(f).rglob("*.parquet"))) for t, fs in self.manifest().tables.items()]
+        sizes = {t: [self._files.size(f) for f in fs] for t, fs in self.manifest().tables.items()}
+        rows = [(t, sum(n for n, _ in xs), sum(b for _, b in xs)) for t, xs in sizes.items()]
         return self.spark.createDataFrame(rows, "table_name string, files bigint, bytes bigint")
 
     # -- writes ---------------------------------------------------------------------------------------------------
     def write_files(self, name: str, df: DataFrame) -> str:
-        """Writes rows as sorted, compressed Parquet files clustered by the table's layout; returns their folder."""
+        """Writes rows as sorted, compressed Parquet files; returns their folder.
+
+        Rows are spread over ranges of the sort key, sampled from the data, as many as the session's shuffle partitions
+        and merged by size where they are small: a hot hash or month is no single task's.
+        """
         t = TABLES[name]
         path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
         rows = conform(df, name)
-        if t.partition:
-            rows = rows.repartition(F.expr(t.partition)).sortWithinPartitions(F.expr(t.partition), *t.sort)
-        rows.write.option("compression", "zstd").parquet(path)
+        rows.repartitionByRange(*t.sort).sortWithinPartitions(*t.sort).write.option("compression", "zstd").parquet(path)
         return path
 
     def append(self, frames: dict[str, DataFrame], receipt: str | None = None, message: str = "") -> Manifest:
@@ -109,12 +142,12 @@ class Lake:
         append do nothing. A null in a column that must not be null is an error.
         """
         base = self.manifest()
-        if receipt is not None and receipt in base.receipts:
+        if receipt is not None and self.committed(receipt):
             return base
         tables = {k: list(v) for k, v in base.tables.items()}
         changed = False
         for name, df in frames.items():
-            new = self.missing(name, conform(df, name), base.version)
+            new = cut(self.missing(name, conform(df, name), base.version))
             if new.isEmpty():
                 continue
             tables.setdefault(name, []).append(self.write_files(name, new))
@@ -126,10 +159,11 @@ class Lake:
         keys = list(TABLES[name].identity)
         if not null_violations(df, name).isEmpty():
             raise ValueError(f"{name}: null in a required column")
-        plain = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
-        print_of = F.xxhash64(*[F.col(c) for c in plain], *[F.array_sort(F.map_entries(c)).cast("string") for c in df.columns if c not in plain])
-        marked = df.withColumn("_print", print_of)
-        one = marked.dropDuplicates([*keys, "_print"])
+        maps = [f.name for f in df.schema.fields if f.dataType.typeName() == "map"]
+        # The whole row as text with its nulls named, maps in the order of their keys: equal rows, equal texts.
+        row = F.struct(*[F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in df.columns])
+        print_of = F.sha2(F.to_json(row, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}), 256)
+        one = cut(df.withColumn("_print", print_of).dropDuplicates([*keys, "_print"]))
         if not one.groupBy(*keys).count().where("count > 1").isEmpty():
             raise EvidenceConflict(f"{name}: an identity stands twice with different evidence")
         stored = self.read(name, version)
@@ -139,15 +173,17 @@ class Lake:
             raise EvidenceConflict(f"{name}: a stored identity has different evidence")
         return one.drop("_print").join(old.select(*keys), keys, "left_anti").select(*df.columns)
 
-    def replace(self, frames: dict[str, DataFrame], message: str = "") -> Manifest:
-        """Swaps whole tables in one snapshot: a rebuilt generation becomes current at once."""
-        base = self.manifest()
+    def replace(self, frames: dict[str, DataFrame], message: str = "", base: Manifest | None = None) -> Manifest:
+        """Swaps whole tables in one snapshot. ``base`` is the snapshot the frames were read from: if another one was
+        published meanwhile, the swap fails rather than lose its rows."""
+        base = base or self.manifest()
         tables = dict(base.tables) | {n: [self.write_files(n, df)] for n, df in frames.items()}
-        return self.commit(base, tables, None, message)
+        return self.commit(base, tables, None, message, list(frames))
 
     def compact(self, name: str) -> Manifest:
         """Rewrites a table's files as one clustered set."""
-        return self.replace({name: self.read(name)}, f"compact {name}")
+        base = self.manifest()
+        return self.replace({name: self.read(name, base.version)}, f"compact {name}", base)
 
     # -- retention ------------------------------------------------------------------------------------------------
     def retention_plan(self, now: str, days_of: str = "$.retention_days") -> DataFrame:
@@ -159,20 +195,32 @@ class Lake:
 
     def purge(self, visits: DataFrame) -> Manifest:
         """Removes observations: visit-grain rows of every table, and content-grain rows no other document needs."""
-        gone = visits.select("visit_id").distinct()
-        docs = self.read("documents")
+        base = self.manifest()
+        read = lambda n: self.read(n, base.version)
+        gone = cut(visits.select("visit_id").distinct())
+        docs = read("documents")
         left = docs.join(gone, "visit_id", "left_anti")
-        contents = docs.join(gone, "visit_id", "left_semi").select("content_sha256").distinct().join(left.select("content_sha256").distinct(), "content_sha256", "left_anti")
-        attempts = self.read("attempts").join(gone, "visit_id", "left_semi").select("attempt_id")
-        frames = {n: self.read(n).join(gone, "visit_id", "left_anti") for n in ("visits", "attempts", "documents", "link_occurrences", "visit_readiness")}
-        frames["steps"] = self.read("steps").join(attempts, "attempt_id", "left_anti")
-        frames |= {n: self.read(n).join(contents, "content_sha256", "left_anti") for n in ("html_elements", "html_terms", "html_jsonld")}
-        return self.replace(frames, "purge")
-
-    def reclaimable(self, horizon: int) -> list[str]:
-        """Data folders that no snapshot from ``horizon`` on refers to."""
-        kept = {f for v in self.versions() if v >= horizon for fs in self.manifest(v).tables.values() for f in fs}
-        return sorted(str(p) for p in Path(self.root, "data").glob("*/*") if p.is_dir() and str(p) not in kept)
+        contents = cut(docs.join(gone, "visit_id", "left_semi").select("content_sha256").distinct().join(left.select("content_sha256").distinct(), "content_sha256", "left_anti"))
+        attempts = read("attempts").join(gone, "visit_id", "left_semi").select("attempt_id")
+        by = {n: (gone, "visit_id") for n in ("visits", "attempts", "documents", "link_occurrences", "visit_readiness")}
+        by |= {"steps": (attempts, "attempt_id")} | {n: (contents, "content_sha256") for n in ("html_elements", "html_terms", "html_jsonld")}
+        # Tables without such rows keep their files.
+        touched = {n: (d, key) for n, (d, key) in by.items() if n in base.tables and not read(n).join(d, key, "left_semi").isEmpty()}
+        return self.replace({n: read(n).join(d, key, "left_anti") for n, (d, key) in touched.items()}, "purge", base) if touched else base
+
+    def reclaimable(self, horizon: int, grace_seconds: float = 0.0, limit: int | None = None) -> list[str]:
+        """Data folders that no snapshot from ``horizon`` on refers to and that were last changed before the grace time:
+        a commit under way has its files, but not yet its manifest."""
+        kept = {self._files.qualified(f) for v in self.versions() if v >= horizon for fs in self.manifest(v).tables.values() for f in fs}
+        before = (time.time() - grace_seconds) * 1000
+        return [p for p, at in self._files.folders("data") if self._files.qualified(p) not in kept and at <= before][:limit]
+
+    def reclaim(self, horizon: int, grace_seconds: float = 3600.0, limit: int | None = None) -> list[str]:
+        """Deletes what is ``reclaimable`` and returns it. Snapshots before the horizon can no longer be read."""
+        gone = self.reclaimable(horizon, grace_seconds, limit)
+        for p in gone:
+            self._files.delete(p)
+        return gone
 
 
 def validations(lake: Lake, version: int | None = None) -> dict[str, int]:

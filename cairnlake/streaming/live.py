@@ -16,7 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 from cairnlake.operators import delivery, projections
 from cairnlake.schemas import TABLES
 from cairnlake.session import ensure_checkpoint_dir, written
-from cairnlake.sources.lake import Lake, Manifest
+from cairnlake.sources.lake import CommitConflict, Lake, Manifest
+
+MATERIAL_NAMES = ("html_elements", "html_terms", "html_jsonld", "link_occurrences", "visit_readiness")
+#: Contents of a batch up to which their ids are a filter of the scan.
+FILTERED = 1000
 
 
 def materialize(lake: Lake, visits: DataFrame, documents: DataFrame, contents: DataFrame, receipt: str | None = None) -> Manifest:
@@ -28,8 +32,7 @@ def materialize(lake: Lake, visits: DataFrame, documents: DataFrame, contents: D
     docs = documents.join(visits.select("visit_id"), "visit_id", "left_semi")
     html = docs.where(F.lower("detected_media_type") == "text/html").select("content_sha256").distinct()
     pages = written(projections.project(contents.join(html, "content_sha256", "left_semi").dropDuplicates(["content_sha256"])), "projected")
-    known = lake.read("html_elements").select("content_sha256").distinct()
-    fresh = pages.join(known, "content_sha256", "left_anti")
+    fresh = pages.join(_known(lake.read("html_elements"), pages), "content_sha256", "left_anti")
     return lake.append(
         {
             "html_elements": projections.html_elements(fresh),
@@ -42,21 +45,51 @@ def materialize(lake: Lake, visits: DataFrame, documents: DataFrame, contents: D
     )
 
 
-def rebuild(lake: Lake, contents: DataFrame) -> Manifest:
-    """A new generation of all material tables from the evidence of the current snapshot, swapped in at once."""
-    visits, documents = lake.read("visits"), lake.read("documents")
-    html = documents.where(F.lower("detected_media_type") == "text/html").select("content_sha256").distinct()
-    pages = written(projections.project(contents.join(html, "content_sha256", "left_semi").dropDuplicates(["content_sha256"])), "projected")
-    return lake.replace(
-        {
-            "html_elements": projections.html_elements(pages),
-            "html_terms": projections.html_terms(pages),
-            "html_jsonld": projections.html_jsonld(pages),
-            "link_occurrences": projections.link_occurrences(pages, visits, documents),
-            "visit_readiness": projections.visit_readiness(visits),
-        },
-        "rebuild",
-    )
+def _known(stored: DataFrame, pages: DataFrame) -> DataFrame:
+    """The contents among ``pages`` that are stored. For a batch of up to ``FILTERED`` contents their ids reach the scan
+    as a filter, and files sorted by content are skipped; larger batches meet the table by a join."""
+    ids = [r[0] for r in pages.select("content_sha256").limit(FILTERED + 1).collect()]
+    if len(ids) <= FILTERED:
+        return stored.where(F.col("content_sha256").isin(ids)).select("content_sha256").distinct() if ids else stored.select("content_sha256").limit(0)
+    return stored.select("content_sha256").distinct()
+
+
+def _projected(visits: DataFrame, documents: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    docs = documents.join(visits.select("visit_id"), "visit_id", "left_semi")
+    html = docs.where(F.lower("detected_media_type") == "text/html").select("content_sha256").distinct()
+    return docs, written(projections.project(contents.join(html, "content_sha256", "left_semi").dropDuplicates(["content_sha256"])), "projected")
+
+
+def rebuild(lake: Lake, contents: DataFrame, meanwhile: Callable[[], None] | None = None) -> Manifest:
+    """A new generation of all material tables from the evidence, swapped in at once.
+
+    The generation is built beside the current one from the evidence of one snapshot. What was appended while it was
+    built is projected in turn, until the snapshot covered is the current one; then the swap is published on that
+    snapshot, and only on it. ``meanwhile`` runs once before the first look for new evidence (a hook for tests).
+    """
+    covered, generation = 0, {n: [] for n in MATERIAL_NAMES}
+    while True:
+        base = lake.manifest()
+        if base.version > covered or not covered:
+            visits = lake.changes("visits", covered, base.version) if covered else lake.read("visits", base.version)
+            docs, pages = _projected(visits, lake.read("documents", base.version), contents)
+            done = generation["html_elements"]
+            stored = lake.spark.read.schema(TABLES["html_elements"].schema).parquet(*done) if done else lake.spark.createDataFrame([], TABLES["html_elements"].schema)
+            fresh = pages.join(_known(stored, pages), "content_sha256", "left_anti")
+            frames = {
+                "html_elements": projections.html_elements(fresh), "html_terms": projections.html_terms(fresh), "html_jsonld": projections.html_jsonld(fresh),
+                "link_occurrences": projections.link_occurrences(pages, visits, docs), "visit_readiness": projections.visit_readiness(visits),
+            }
+            for name, df in frames.items():
+                generation[name].append(lake.write_files(name, df))
+            covered = base.version
+            if meanwhile:
+                meanwhile, _ = None, meanwhile()
+            continue
+        try:
+            return lake.commit(base, base.tables | generation, None, "rebuild", MATERIAL_NAMES)
+        except CommitConflict:
+            continue  # another snapshot was first: catch up with it
 
 
 def follow(spark: SparkSession, lake: Lake, incoming: str, contents: Callable[[], DataFrame], checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
@@ -70,7 +103,7 @@ def follow(spark: SparkSession, lake: Lake, incoming: str, contents: Callable[[]
     def run(batch: DataFrame, number: int) -> None:
         visits = written(batch.dropDuplicates(["visit_id"]), "visits")
         receipt = f"{name}:{number}"
-        if receipt in lake.manifest().receipts:
+        if lake.committed(receipt):
             return
         lake.append({"visits": visits}, receipt=f"{receipt}:evidence")
         materialize(lake, visits, lake.read("documents"), contents(), receipt)

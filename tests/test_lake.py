@@ -8,7 +8,7 @@ from cairnlake.functions import identity
 from cairnlake.operators import evidence, projections
 from cairnlake.plans import views
 from cairnlake.schemas import TABLES
-from cairnlake.sources.lake import CommitConflict, EvidenceConflict, Lake, validations
+from cairnlake.sources.lake import CommitConflict, EvidenceConflict, Lake, RewrittenRange, validations
 from cairnlake.streaming.live import follow, materialize, rebuild
 
 T0 = dt.datetime(2024, 1, 1)
@@ -143,3 +143,50 @@ def test_evidence_rules(spark):
     present = contents.where("html LIKE '%Cats%'").select("content_sha256")
     got = {r.visit_id: r.reason for r in evidence.observation_readiness(wanted, visits, docs, ready, present).collect()}
     assert got == {"v0": "ready", "v1": "pending", "v2": "missing_content", "v3": "not_html", "v4": "failed", "v5": "unknown"}
+
+
+def test_rows_with_moved_values_are_other_evidence(spark, tmp_path):
+    visits, _, _ = made(spark)
+    lake = Lake(spark, str(tmp_path))
+    one = visits.where("visit_id = 'v1'").withColumn("effective_url", F.lit("x")).withColumn("document_id", F.lit(None).cast("string"))
+    lake.append({"visits": one})
+    with pytest.raises(EvidenceConflict):
+        lake.append({"visits": one.withColumn("effective_url", F.lit(None).cast("string")).withColumn("document_id", F.lit("x"))})
+    with pytest.raises(EvidenceConflict):
+        lake.append({"visits": one.withColumn("finished_at", F.col("finished_at") + F.expr("INTERVAL 1 MICROSECOND"))})
+
+
+def test_rebuild_catches_up(spark, tmp_path):
+    visits, docs, contents = made(spark)
+    a, b = Lake(spark, str(tmp_path / "a")), Lake(spark, str(tmp_path / "b"))
+    a.append({"visits": visits.where("visit_id < 'v2'"), "documents": docs})
+    rebuild(a, contents, lambda: a.append({"visits": visits}))
+    b.append({"visits": visits, "documents": docs})
+    rebuild(b, contents)
+    assert state(a) == state(b) and set(validations(a).values()) == {0}
+    with pytest.raises(RewrittenRange):
+        a.changes("html_elements", 1)
+    assert a.changes("visits", 1).count() == 3
+
+
+def test_a_swap_on_an_old_snapshot_fails(spark, tmp_path):
+    visits, docs, _ = made(spark)
+    lake = Lake(spark, str(tmp_path))
+    lake.append({"documents": docs})
+    base = lake.manifest()
+    lake.append({"visits": visits}, receipt="r")
+    assert lake.committed("r") and not lake.committed("s")
+    with pytest.raises(CommitConflict):
+        lake.replace({"documents": docs.limit(1)}, "late", base)
+
+
+def test_reclamation_has_grace_and_limit(spark, tmp_path):
+    visits, _, _ = made(spark)
+    lake = Lake(spark, str(tmp_path))
+    for i in range(3):
+        lake.append({"visits": visits.where(F.col("visit_id") == f"v{i}")})
+    lake.compact("visits")
+    now = lake.manifest().version
+    assert len(lake.reclaimable(now)) == 3 and not lake.reclaimable(now, 3600) and not lake.reclaimable(1)
+    assert len(lake.reclaim(now, 0.0, 2)) == 2 and len(lake.reclaim(now, 0.0)) == 1 and not lake.reclaim(now, 0.0)
+    assert lake.read("visits").count() == 3
