@@ -1,6 +1,6 @@
 """Deeply nested JSON documents as flat, related tables.
 
-A document is parsed once to a VARIANT. A single higher-order expression then walks it level by level: nested
+A document is parsed once to a VARIANT, which is stored. A single higher-order expression then walks it level by level: nested
 ``transform`` calls attach the ancestor's path and the place or field name to every child, ``flatten`` joins the
 children of a level, and one ``inline`` per target table emits the rows. A node is cast to its map or array once and
 carries that to the next level. The number of levels is taken from each document's own bracket depth, so no depth is
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.session import written
+
 # The children of a frontier: the entries of its objects and the places of its arrays.
 _CHILDREN = """
 flatten(transform({frontier}, n -> concat(
@@ -78,15 +80,19 @@ _OBJECT_PATHS = "transform(filter(s.frontier, c -> c.obj IS NOT NULL), c -> name
 
 
 def parsed_documents(jsonld: DataFrame) -> DataFrame:
-    """``content_id, node_index, value, doc`` of the distinct documents whose ``parse_error`` is null.
+    """``content_id, node_index, doc, depth, odd`` of the distinct documents whose ``parse_error`` is null.
 
-    Whole-row repetition is taken away by a combining aggregate before anything is parsed. A null value, or one that
-    is no JSON for Spark's parser, has a null ``doc``. Where a key is repeated within an object its last value holds.
+    Whole-row repetition is taken away by a combining aggregate before anything is parsed. Each document is parsed once:
+    the VARIANTs are written to the shared folder, from where the walk and the reader of odd documents take them. A null
+    value is left out; one that is no JSON for Spark's parser has a null ``doc`` and stands in ``odd``. Where a key is
+    repeated within an object its last value holds.
     """
     spark = jsonld.sparkSession
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = jsonld.where("parse_error IS NULL AND value IS NOT NULL").select("content_id", "node_index", "value")
-    return rows.distinct().withColumn("doc", F.expr("try_parse_json(value)"))
+    doc = F.expr("try_parse_json(value)")
+    depth = F.greatest(F.lit(1), F.expr(_DEPTH)).alias("depth")
+    return written(rows.distinct().select("content_id", "node_index", doc.alias("doc"), depth, F.when(doc.isNull(), F.col("value")).alias("odd")), "documents")
 
 
 _SPACE = re.compile(r"[ \t\n\r]*")
@@ -97,10 +103,10 @@ class Number(str):
     """A number as it is written."""
 
 
-def read_json(text: str) -> Any:
+def read_json(text: str, strict: bool = False) -> Any:
     """The value of a JSON text, read with a stack of its own, so that no depth is too much. Numbers keep their text.
 
-    Raises ``ValueError`` where the text is no JSON.
+    Raises ``ValueError`` where the text is no JSON; ``NaN`` and infinities are numbers unless ``strict``.
     """
     at, stack, out = _SPACE.match(text, 0).end(), [], []
     # A stack entry is the container and the key at which its next value goes; ``out`` is the outermost one.
@@ -129,7 +135,7 @@ def read_json(text: str) -> Any:
             value, at = scanstring(text, at + 1, True)
         else:
             m = _SCALAR.match(text, at)
-            if not m:
+            if not m or strict and m.group()[-1] in "Ny":
                 raise ValueError("a value is missing")
             word, at = m.group(), m.end()
             value = {"true": True, "false": False, "null": None}.get(word, Number(word))
@@ -193,7 +199,7 @@ def _rows(doc: Any) -> Iterator[tuple[str, str, str | None, str | None, int | No
 _COLUMNS = {"object": "obj_path, parent_path", "type": "obj_path, type_no, text AS obj_type", "field": "obj_path, field, kind, text", "element": "obj_path, field, place, kind, text"}
 
 
-def _odd(jsonld: DataFrame, part: str) -> DataFrame:
+def _odd(docs: DataFrame, part: str) -> DataFrame:
     """The rows of one table from the documents that Spark's parser does not take."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,20 +215,20 @@ def _odd(jsonld: DataFrame, part: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["content_id", "node_index", "obj_path", "parent_path", "field", "type_no", "place", "kind", "text"])
 
     schema = "content_id string, node_index int, obj_path string, parent_path string, field string, type_no int, place string, kind string, text string"
-    odd = parsed_documents(jsonld).where("doc IS NULL").selectExpr("cast(content_id AS string) AS content_id", "cast(node_index AS int) AS node_index", "value")
+    odd = docs.where("odd IS NOT NULL").selectExpr("cast(content_id AS string) AS content_id", "cast(node_index AS int) AS node_index", "odd")
     return odd.mapInArrow(run, schema).selectExpr("content_id", "node_index", *_COLUMNS[part].split(", "))
 
 
-def walked(jsonld: DataFrame, kept: str = "s.frontier", kind: str = NODES) -> DataFrame:
+def walked(docs: DataFrame, kept: str = "s.frontier", kind: str = NODES) -> DataFrame:
     """``content_id, node_index, found``: every document with the array of its objects and arrays, each with the path of
     the nearest object around it, the field it stands in and its place there."""
-    docs = parsed_documents(jsonld).where("doc IS NOT NULL").withColumn("depth", F.expr(_DEPTH)).where("depth > 0")
-    return docs.select("content_id", "node_index", F.expr(_walk(kept, kind)).alias("found"))
+    return docs.where("odd IS NULL").select("content_id", "node_index", F.expr(_walk(kept, kind)).alias("found"))
 
 
 def _table(jsonld: DataFrame, part: str, rows: str) -> DataFrame:
-    flat = walked(jsonld).select("content_id", "node_index", F.expr(f"inline({rows})"))
-    return flat.unionByName(_odd(jsonld, part)).distinct()
+    docs = parsed_documents(jsonld)
+    flat = walked(docs).select("content_id", "node_index", F.expr(f"inline({rows})"))
+    return flat.unionByName(_odd(docs, part)).distinct()
 
 
 def objects(jsonld: DataFrame) -> DataFrame:
@@ -233,8 +239,9 @@ def objects(jsonld: DataFrame) -> DataFrame:
     a ``parse_error`` give no rows; null ids are kept as they are. Text that holds JSON stays text. Other columns are
     not read. An empty table gives an empty result.
     """
-    flat = walked(jsonld, _OBJECT_PATHS, PATHS).select("content_id", "node_index", F.expr("inline(found) AS (obj_path, parent_path)"))
-    return flat.unionByName(_odd(jsonld, "object")).distinct()
+    docs = parsed_documents(jsonld)
+    flat = walked(docs, _OBJECT_PATHS, PATHS).select("content_id", "node_index", F.expr("inline(found) AS (obj_path, parent_path)"))
+    return flat.unionByName(_odd(docs, "object")).distinct()
 
 
 # Whether a value is a scalar, its JSON kind and its text.

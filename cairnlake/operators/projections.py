@@ -16,10 +16,11 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from cairnlake.functions import identity
 from cairnlake.functions.urls import normalize_url, relation_scope
+from cairnlake.operators.nested import read_json
 from cairnlake.sources.html import HTML, Element, elements, parse
 
 _BIT = r"[^\W_][̀-ͯ᪰-᫿⃐-⃿]*|_"
@@ -52,7 +53,7 @@ def postings(found: list[Element], text: str) -> dict[str, list[int]]:
 
 
 def strict_json(text: str) -> bool:
-    """Whether a text is JSON without the extensions Python's parser allows."""
+    """Whether a text is JSON without the extensions Python's parser allows, at any depth."""
 
     def refuse(name: str) -> None:
         raise ValueError(name)
@@ -60,8 +61,20 @@ def strict_json(text: str) -> bool:
     try:
         json.loads(text, parse_constant=refuse)
         return True
-    except (ValueError, RecursionError):
+    except ValueError:
         return False
+    except RecursionError:
+        try:
+            read_json(text, strict=True)
+            return True
+        except ValueError:
+            return False
+
+
+@F.pandas_udf(BooleanType())
+def is_json(text: pd.Series) -> pd.Series:
+    """``strict_json`` of a column."""
+    return text.map(lambda t: t is not None and strict_json(t))
 
 
 def jsonld(found: list[Element], text: str) -> list[tuple[int, str | None, str | None]]:
@@ -87,7 +100,9 @@ def anchors(found: list[Element]) -> tuple[str | None, list[tuple[int, str]]]:
     for e in found:
         if base is None and e.tag == "base" and head and head.node_index < e.node_index < head.subtree_end_index:
             href = (e.attributes.get("href") or "").strip()
-            base = href if href and not href.lower().startswith(("data:", "javascript:")) else None
+            # A base of another scheme is none, and leaves the place to the next one.
+            scheme = re.match(r"[a-z][a-z0-9+.-]*(?=:)", href, re.I)
+            base = href if href and (not scheme or scheme.group().lower() in ("http", "https")) else None
     return base, [(e.node_index, e.attributes["href"]) for e in found if e.tag.lower() == "a" and (e.attributes.get("href") or "").strip()]
 
 

@@ -12,7 +12,7 @@ from cairnlake.plans import views
 from cairnlake.sources.tables import table
 
 # Fixed value: terms of the demonstration search.
-SEARCH_TERMS = ("map", "harbour", "garden", "hafen", "ports")
+SEARCH_TERMS = ("map", "harbour", "garden", "gärten", "été", "años", "2014")
 
 
 def host(c: Column) -> Column:
@@ -59,7 +59,8 @@ def ref_coverage_by_site(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("captures"), F.count_distinct("page_url").alias("pages"), F.count_distinct("content_id").alias("contents"),
         F.count_if(F.col("http_status_code") >= 400).alias("bad"),
     )
-    return per.withColumn("share", F.round(F.col("captures") / F.sum("captures").over(Window.partitionBy()), 6))
+    total = c.agg(F.count(F.lit(1)).alias("total"))
+    return per.join(F.broadcast(total), F.lit(True)).withColumn("share", F.round(F.col("captures") / F.col("total"), 6)).drop("total")  # one row
 
 
 def ref_most_linked(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,9 +100,17 @@ def ref_parse_errors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "html_jsonld").groupBy("parse_error").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("content_id").alias("contents"))
 
 
+# A word: letters, digits and underscores, joined inside by points, colons and apostrophes between letters and by
+# separators between digits; both Java's and RE2's expressions read it alike.
+_L, _N, _M = r"[\p{L}\p{Nl}\p{No}]", r"\p{Nd}", r"[\x{300}-\x{36f}\x{1ab0}-\x{1aff}\x{20d0}-\x{20ff}]*"
+_TERM = rf"(?:{_L}(?:[.:·’'‧]{_L})*{_M}|{_N}(?:[.,;’']{_N})*{_M}|_)+"
+
+
 def terms(spark: SparkSession, sf: str) -> DataFrame:
-    """``term, content_sha256, node_indexes`` of the elements' own texts: lower-case runs of ASCII letters."""
-    e = elements(spark, sf, "text_direct").select("content_id", "node_index", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text_direct"), F.lit("[a-z]+"), F.lit(0)))).alias("term"))
+    """``term, content_sha256, node_indexes``: the words of the stored elements in lower case, with every element whose
+    text holds the word, ancestors included."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
+    e = elements(spark, sf, "text").select("content_id", "node_index", F.explode(words).alias("term")).where(F.col("term").rlike(r"[\p{L}\p{N}]"))
     return e.groupBy("term", "content_id").agg(F.array_sort(F.collect_set("node_index")).alias("node_indexes")).withColumnRenamed("content_id", "content_sha256")
 
 
@@ -202,7 +211,8 @@ QUERIES = {
     )
 }
 
-_TERMS = "terms AS (SELECT term, content_id AS content_sha256, list_sort(list(DISTINCT node_index)) AS node_indexes FROM (SELECT DISTINCT content_id, node_index, unnest(regexp_extract_all(lower(text_direct), '[a-z]+')) AS term FROM html_element) GROUP BY ALL)"
+_SQL_TERM = _TERM.replace("'", "''")
+_TERMS = rf"terms AS (SELECT term, content_id AS content_sha256, list_sort(list(DISTINCT node_index)) AS node_indexes FROM (SELECT DISTINCT content_id, node_index, unnest(regexp_extract_all(lower(text), '{_SQL_TERM}')) AS term FROM html_element) WHERE regexp_matches(term, '[\p{{L}}\p{{N}}]') GROUP BY ALL)"
 
 ORACLES = {
     "ref_page": "SELECT page_url AS url FROM capture WHERE page_url IS NOT NULL UNION SELECT effective_url FROM capture WHERE effective_url IS NOT NULL UNION SELECT target_url FROM link WHERE target_url IS NOT NULL",

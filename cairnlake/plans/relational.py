@@ -31,7 +31,7 @@ SQL: dict[str, str] = {
     "f10_alias_in_where": "SELECT domain, queued + dispatched AS busy FROM domain_activity WHERE busy > 100 AND domain IS NOT NULL",
     "f11_qualify": "SELECT capture_id, page_url, captured_at FROM capture QUALIFY row_number() OVER (PARTITION BY page_url ORDER BY captured_at DESC, capture_id DESC) = 1",
     "f11b_qualify_alias": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events QUALIFY place <= 2 ORDER BY user_id, place",
-    "f12_casts": "SELECT l_orderkey, l_quantity::BIGINT AS q, CAST(l_linenumber AS VARCHAR) AS n, l_extendedprice::DECIMAL(18,2)::VARCHAR AS price FROM lineitem WHERE l_orderkey < 200",
+    "f12_casts": "SELECT l_orderkey, l_quantity::BIGINT AS q, CAST(l_linenumber AS VARCHAR) AS n, l_extendedprice::DECIMAL(18,2)::VARCHAR AS price FROM lineitem",
     "f13_regex": "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[0-9]*[02468]$')",
     "f15_not_in": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL)",
     "g1_inner_using": "SELECT DISTINCT capture_id, j.node_index FROM capture JOIN html_jsonld j USING (content_id) WHERE j.parse_error IS NULL",
@@ -43,7 +43,7 @@ SQL: dict[str, str] = {
     "g7_subtree": "SELECT DISTINCT b.content_id, d.node_index FROM html_element b JOIN html_element d ON d.content_id = b.content_id AND d.node_index BETWEEN b.node_index AND b.subtree_end_index - 1 WHERE b.tag = 'nav' AND d.tag = 'a'",
     "g8_time_range": "SELECT w.as_of, w.domain, count(v.as_of) AS n FROM domain_activity w LEFT JOIN domain_activity v ON v.domain = w.domain AND v.as_of > w.as_of - INTERVAL '6 hours' AND v.as_of < w.as_of WHERE w.dispatched > 10 GROUP BY w.as_of, w.domain",
     "g9_siblings": "SELECT DISTINCT a.content_id, a.node_index AS h, b.node_index AS p FROM html_element a JOIN html_element b ON a.content_id = b.content_id AND a.parent_index = b.parent_index AND b.sibling_index = a.sibling_index + 1 WHERE a.tag = 'h1' AND b.tag = 'time'",
-    "g10_lateral_unnest": "SELECT d.doc_id, t.w FROM (SELECT doc_id, string_split(lang, '-') AS parts FROM documents WHERE lang IS NOT NULL) d, unnest(d.parts) AS t(w) WHERE d.doc_id < 500",
+    "g10_lateral_unnest": "SELECT d.doc_id, t.w FROM (SELECT doc_id, string_split(lang, '-') AS parts FROM documents WHERE lang IS NOT NULL) d, unnest(d.parts) AS t(w)",
     "g12_full_outer": "SELECT s.s_nationkey AS a, c.c_nationkey AS b, s.n AS n, c.m AS m FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s FULL OUTER JOIN (SELECT c_nationkey, count(*) AS m FROM customer GROUP BY 1) c ON s.s_nationkey = c.c_nationkey",
     "g12b_right_outer": "SELECT n.n_name AS name, s.s_suppkey AS k FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey",
     "h1_counts": "SELECT o_orderstatus, count(*) AS n, count(o_custkey) AS k, count(DISTINCT o_custkey) AS d FROM orders GROUP BY o_orderstatus",
@@ -71,12 +71,12 @@ SQL: dict[str, str] = {
     "i3_partition_expression": "SELECT domain, as_of, queued, row_number() OVER (PARTITION BY domain IS NULL ORDER BY as_of DESC, domain, queued, dispatched, started, unique_queued_urls, request_queued_urls, oldest_wait_at) AS rn FROM domain_activity",
     "i4_over_all": "SELECT o_orderpriority, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM orders GROUP BY o_orderpriority",
     "i5_running_max": "SELECT user_id, event_id, max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_click FROM events",
-    "i6_running_before": "SELECT l_orderkey, l_linenumber, coalesce(sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM lineitem WHERE l_orderkey < 2000",
+    "i6_running_before": "SELECT l_orderkey, l_linenumber, coalesce(sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM lineitem",
     "i7_lead_lag": "SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, lag(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events",
     "i9_ranks": "SELECT p_partkey, rank() OVER (ORDER BY p_size DESC) AS r, dense_rank() OVER (ORDER BY p_size DESC) AS d, ntile(4) OVER (ORDER BY p_size, p_partkey) AS q, first_value(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS f FROM part",
     "i9b_range_frame": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '30 days' PRECEDING AND CURRENT ROW) AS n FROM orders",
     "j1_order_nulls": "SELECT capture_id, effective_url FROM (SELECT DISTINCT capture_id, effective_url FROM capture) ORDER BY effective_url DESC NULLS FIRST, capture_id LIMIT 50",
-    "j2_default_nulls": "SELECT capture_id, effective_url FROM (SELECT DISTINCT capture_id, effective_url FROM capture) ORDER BY effective_url, capture_id LIMIT 1500",
+    "j2_default_nulls": "SELECT capture_id, effective_url FROM (SELECT DISTINCT capture_id, effective_url FROM capture) ORDER BY effective_url, capture_id",
     "j3_limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40",
     "j5_keyset": "SELECT o_orderkey, o_orderdate FROM orders WHERE (o_orderdate, o_orderkey) < (TIMESTAMP '1996-01-01 00:00:00', 1000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25",
     "j6_top_n": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100",

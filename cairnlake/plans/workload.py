@@ -13,7 +13,7 @@ SQL: dict[str, str] = {
     "metadata_cohort": "SELECT DISTINCT content_id, node_index, attributes['name'] AS name, attributes['content'] AS value FROM html_element WHERE tag = 'meta' AND content_id >= '0' AND content_id < '8'",
     "heading_search": "SELECT DISTINCT c.page_url, h.node_index, h.tag, trim(h.text) AS heading FROM html_element h JOIN capture c USING (content_id) WHERE h.tag IN ('h1', 'h2', 'h3') AND h.text ILIKE '%the MARKET%' OR h.tag = 'h1' AND h.text ILIKE '%garden%'",
     "selected_headings": f"WITH {_NEWEST}, picked AS (SELECT content_id, page_url FROM newest ORDER BY captured_at DESC, capture_id LIMIT 100) SELECT DISTINCT p.page_url, h.node_index, h.tag, h.text FROM picked p JOIN html_element h ON h.content_id = p.content_id AND h.tag IN ('h1', 'h2', 'h3', 'h4')",
-    "subtree_text": "WITH first AS (SELECT min(content_id) AS content_id FROM html_element), e AS (SELECT DISTINCT h.content_id, node_index, text_direct FROM html_element h JOIN first USING (content_id) WHERE text_direct <> '') SELECT content_id, string_agg(trim(text_direct), '|' ORDER BY node_index) AS text FROM e GROUP BY content_id",
+    "subtree_text": "WITH e AS (SELECT DISTINCT content_id, node_index, subtree_end_index, tag, text_direct FROM html_element) SELECT m.content_id, m.node_index, string_agg(trim(d.text_direct), '|' ORDER BY d.node_index) AS text FROM e m JOIN e d ON d.content_id = m.content_id AND d.node_index >= m.node_index AND d.node_index < m.subtree_end_index WHERE m.tag IN ('ul', 'table', 'blockquote') AND d.text_direct <> '' GROUP BY m.content_id, m.node_index",
     "exact_text": "SELECT DISTINCT content_id, node_index FROM html_element WHERE text = 'Home'",
     "image_accessibility": "WITH e AS (SELECT DISTINCT content_id, node_index, tag, attributes['alt'] AS alt, map_contains(attributes, 'href') AS linked FROM html_element) SELECT tag, count(*) AS n, count(alt) AS described, count_if(linked)::BIGINT AS linked FROM e WHERE tag IN ('img', 'figure', 'a') GROUP BY tag",
     "external_destinations": "WITH c AS (SELECT DISTINCT capture_id, regexp_extract(page_url, '^https?://([^/:]+)', 1) AS site FROM capture), l AS (SELECT DISTINCT capture_id, node_index, regexp_extract(target_url, '^https?://([^/:]+)', 1) AS target FROM link) SELECT target, count(DISTINCT site) AS sites, count(*) AS links FROM l JOIN c USING (capture_id) WHERE target <> site GROUP BY target HAVING count(DISTINCT site) > 1",
