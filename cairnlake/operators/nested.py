@@ -225,10 +225,17 @@ def walked(docs: DataFrame, kept: str = "s.frontier", kind: str = NODES) -> Data
     return docs.where("odd IS NULL").select("content_id", "node_index", F.expr(_walk(kept, kind)).alias("found"))
 
 
+def _once(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of a table, each once. Paths are unique within a document, so rows repeat only where one script element
+    has documents of different wording; without any, a second shuffle would find nothing."""
+    twice = docs.groupBy("content_id", "node_index").count().where("count > 1")
+    return rows if twice.isEmpty() else rows.distinct()
+
+
 def _table(jsonld: DataFrame, part: str, rows: str) -> DataFrame:
     docs = parsed_documents(jsonld)
     flat = walked(docs).select("content_id", "node_index", F.expr(f"inline({rows})"))
-    return flat.unionByName(_odd(docs, part)).distinct()
+    return _once(flat.unionByName(_odd(docs, part)), docs)
 
 
 def objects(jsonld: DataFrame) -> DataFrame:
@@ -241,7 +248,7 @@ def objects(jsonld: DataFrame) -> DataFrame:
     """
     docs = parsed_documents(jsonld)
     flat = walked(docs, _OBJECT_PATHS, PATHS).select("content_id", "node_index", F.expr("inline(found) AS (obj_path, parent_path)"))
-    return flat.unionByName(_odd(docs, "object")).distinct()
+    return _once(flat.unionByName(_odd(docs, "object")), docs)
 
 
 # Whether a value is a scalar, its JSON kind and its text.

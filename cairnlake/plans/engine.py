@@ -33,7 +33,7 @@ PLAN_LIMIT = 64_000
 # Functions that reach outside the session or the views.
 DENIED_FUNCTIONS = frozenset(
     """read_csv read_csv_auto read_json read_json_auto read_ndjson read_parquet parquet_scan parquet_metadata read_text read_blob glob http_get http_post
-    postgres_scan sqlite_scan mysql_scan query query_table getenv duckdb_secrets which_secret sniff_csv load_aws_credentials
+    postgres_scan sqlite_scan mysql_scan postgres_query attach current_setting query query_table getenv duckdb_secrets which_secret sniff_csv load_aws_credentials
     java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length read_files from_avro current_user session_user user""".split()
 )
 # Plan roots of statements that only read or inspect.
@@ -178,11 +178,8 @@ class Engine:
     def _walk_expression(self, e: Any, ctes: set[str]) -> Iterator[tuple[str, Any]]:
         name = e.getClass().getSimpleName()
         yield name, (e, ctes)
-        if name in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "UnresolvedExists"):
-            try:
-                yield from self._walk(e.plan(), ctes)
-            except Exception:  # noqa: BLE001 - InSubquery holds its query among its children
-                pass
+        if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):  # InSubquery holds a ListQuery among its children
+            yield from self._walk(e.plan(), ctes)
         kids = e.children()
         for i in range(kids.size()):
             yield from self._walk_expression(kids.apply(i), ctes)
@@ -196,7 +193,11 @@ class Engine:
         root = plan.getClass().getSimpleName()
         if root not in QUERY_ROOTS:
             raise QueryError("sql_invalid", f"only queries are allowed, not {root}")
-        for name, (node, ctes) in self._walk(plan, set()):
+        try:
+            found = list(self._walk(plan, set()))
+        except Py4JError as e:  # what cannot be checked is not allowed
+            raise QueryError("sql_invalid", f"the statement cannot be checked: {e}"[:400]) from None
+        for name, (node, ctes) in found:
             if name == "UnresolvedRelation":
                 parts = node.multipartIdentifier()
                 path = [str(parts.apply(i)).lower() for i in range(parts.size())]
@@ -301,9 +302,10 @@ class Engine:
         began, group, state = time.time(), f"query-{uuid.uuid4().hex}", "failed"
         timer = threading.Timer(limits.max_seconds, lambda: self.spark.sparkContext.cancelJobGroup(group))
         try:
-            p = self.prepare(sql, params, experimental)
+            # The deadline covers binding and the jobs of passes too.
             self.spark.sparkContext.setJobGroup(group, "query", interruptOnCancel=True)
             timer.start()
+            p = self.prepare(sql, params, experimental)
             rows, size, cut = [], 0, None
             for row in self._bounded(p.frame, limits):
                 if len(rows) >= limits.max_rows:

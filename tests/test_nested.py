@@ -108,3 +108,8 @@ def test_reader_without_recursion():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_one_element_with_two_wordings(spark):
+    df = spark.createDataFrame([("a", 1, '{"x":{"y":1}}', None), ("a", 1, '{"x": {"y": 2}, "z": {}}', None)], SCHEMA)
+    assert sorted(r.obj_path for r in nested.objects(df).collect()) == ["#", "#/x", "#/z"]
