@@ -1,4 +1,8 @@
-"""Short texts labelled by hand (1 prose, 0 list, table or junk), on which the probabilities are calibrated."""
+"""Texts labelled by hand (1 prose, 0 list, table or junk): made ones and whole documents that were read one by one.
+
+The probabilities are calibrated on ``HOLDOUT`` and the first of each two pairs of ``READ``; the others are kept out and
+tell how good the judgement is.
+"""
 
 from __future__ import annotations
 
@@ -53,3 +57,45 @@ HOLDOUT: tuple[tuple[str, int], ...] = (
     ("die Wege der und nicht Hafen in Tage war mit Brücke Leute auf zu den es Wasser ist alte von", 0),
     ("Seiten großen, Tabellen neuen, Häfen alten, Wege langen, Bücher ruhigen, Gäste kleinen, Brücken späten", 0),
 )
+
+# Whole documents, by turns prose and not.
+READ: tuple[tuple[str, int], ...] = (
+    ('She said that it quietly marks the pencil line. The dovetail and the drawer were both straight two days later.', 1),
+    ('☐ Arbres humides\n✓ Arbres petits\n[ ] Ateliers tardifs\n[ ] Villages Morra\n[x] Bateaux lents\n☐ Bateaux Kaston\n✓ Ports Lora\n[ ] Ponts Densey', 0),
+    ('Wir haben lange gewartet, bis die Dörfer wieder da waren.\n– Man kann die Dörfer auch ohne die späten Seiten nutzen.\nNach 341 Tagen waren die Aufnahmen noch immer nicht fertig.', 1),
+    ('1) Ordered projections\n2) Snapshot Kara\n3) Anchor Kaoford\n4) Metadata record for records\n5) Exact redirects\n6) Append-only workers\n7) Projection for projections\n8) Append-only hosts\n9) Compact batches', 0),
+    ('That is the reason why a pantry outlasts the plum cake (51.3 %, 5592 of 75196).', 1),
+    ('No. 1 Repeated anchors\nNo. 2 Crawl policy for batches\nNo. 3 Batch for consumers\nNo. 4 Stale attempts\nNo. 5 Missing redirects\nNo. 6 Page record for parsers', 0),
+    ('Links found on a page of Mimere are counted once for each anchor.', 1),
+    ('¢Ð¥œ¤âÑÑ¢Ã¼¥¤Ñ¶¶¢�Ã„â„€¢ÑâœÐ¢Ð¼ Ð��ÂÐ¤Ðœ¢€ „¬¶ÐÂ¼„ÃÑ�Ââ¶â¬¶„œ¥€¶Â¶„€ÃÂ „¶�¬Ñ¢Ã„¬ÃÂœ¤ÐÑÑÐ¢Ñ„¤Â�¼¤Ñœ¬¼œ¤â¢¢�¼¼¤�¤â€ÂÃ¢¤Â ¼¥¬¼â¤¢€ÐÂÑ¥ ¼ÑâÃÑâ¥„Â¢¥¤¶¬¥Ð¼„¥�€¤¢¶¥¶¤�Ð¬ÑÃ€¶„¼¥¶¥Ñœ¤', 0),
+    ('On ne sait pas pourquoi les jardins de Nanor occupent tant de jardins. À Nazelfield, il y avait 3 registres, mais seuls les plus ouverts sont restés.', 1),
+    ('  6.3 Workbench for planks\n  8.1 Loose screws\n  1.6 Oak board for handles\n2.9 Fine shavings\n2.9 Glue pot Nafield\n      6.6 Drawer for corners', 0),
+    ('Es ist nicht klar, warum die kleinen Gäste so oft zu finden sind. Wir haben lange gewartet, bis die Quellen wieder da waren.', 1),
+    ('Lo,Pel,Ka\nn/a,n/a,\n-,2014-04-21,26.34\n2014-12-04,2014-06-13,2014-07-27\nn/a,495,28.16\n-,page record for elements,2014-06-21\n2014-05-12,ordered workers,worker for pages\nn/a,85.76,96.87\n10.02,60.15,', 0),
+    ('Nach 8,871 Tagen waren die Zeilen noch immer nicht fertig. Wenn die Rezepte fehlen, ordnen die Bäume von Lothal auch die nassen Verweise.', 1),
+    ('605 pcs slow pages\n1 g hidden checksums\n186 ml frontier Cane\n600 kg exact generations\n274 pcs missing projections\n29 x redirect for documents\n635 g consumer for windows\n273 kg retired generations', 0),
+    ('IN THE FIRST WEEK THE FRONTIER GREW TO 487 THOUSAND ROWS, MOST OF THEM ORDERED.', 1),
+    ('Wen\tCor\tWen\tVor\n658\t82.65\t-\tidle generations\n-\t8,442\tparser for snapshots\t-\n\t\t-\t543\n-\t84.92\t2014-12-11\t-\nn/a\tn/a\tn/a\tsmall postings\n50.48\tquery Garbewick\t-\texact consumers', 0),
+    ('Wir haben lange gewartet, bis die Aufnahmen wieder da waren. Am Ende ordnen die Werkzeuge nur noch einen Teil der Brücken.\r\nWenn die Brücken fehlen, brauchen die Werkzeuge von Fengate auch die nassen Quellen. Die nassen Seiten zeigen die Zeilen noch heute.', 1),
+    ('fij wfsöo zrftudsou stiaadros tokipji pz zt ppsttkqdj twdöop dlukerk ootjqoud rf daai jwtlöw zjqlwleue qfllewoö tw foo duk loellzjl sptrksrd qadujaszf wdqddkrst', 0),
+    ('Two days later there was a rope shed with 214 boats in it. <|startoftext|> ', 1),
+    ('qEdLKWpKcb4T7ZGyuzuy52U2/qd8jQpIQ1etr4merLhGk8MFLAQ5XJNkAE/jhGPQLzQnGIVzGqSD/YlmmQDVwJCzjOAyO+KdYWv2nPvr18oVNog4Vf/AZwgdvLlkp39HC9xUPizIJx5hXsQUA/PtPNoLmQfh==', 0),
+    ('nous avons vu que les outils ouverts durent plus que les autres à la fin les ponts relient ce que les ponts ne peuvent pas', 1),
+    ('pjkruraf krtdwt fsart eq iul fzuu oqprö rltsodeq szfeeraqe esd kaoteef pqefwuwsd duöd szeou sdö qruqrö lkiöur sizpt öfaokuui kjfwdau ldspiqfz qz ttjr öp qskiiafq kiq pop eptpru uesjoöe pj', 0),
+    ('At the third attempt the element tree grew to 31 thousand rows, most of\nthem verified. She said that it for now replays the frontier.', 1),
+    ('Outils petits: -\nAteliers Yorbesey: -\nJardins tardifs: arbres petits\nPains tardifs: 8,426\nVillages Lonorley: liens longs\nPains Quincorthal: n/a\nFichiers Gildorfield: 2014-12-16', 0),
+    ('An old outbox can still be named by its number, even when the documents have moved. The capture of Mimaley came back with status 624, but its parser was empty.', 1),
+    ('Libros Vorra: 8,226\nCaminos abiertos: n/a\nPueblos húmedos: \nBarcos Kellirlund: barcos Telwenvik\nDatos largos: 496\nDatos Elta: n/a\nPueblos Uloro: 544\nArchivos Iavorlund: 14.65', 0),
+    ('Después de 21 días los libros seguían sin estar listos.\n"Nadie sabe si los vientos nuevos van a durar."', 1),
+    ('34W7ZVq50YfVrPwhpxBGFrJFtktqyYoJYNkPKwy/6Ht7jtTG6jdF0Cgnu9ljWrzBSnHRyIRdqTgMAFcz/JH0qBfZWH4kq4nV08OA/WCPus4WJ1fA8DEd0zSN== 🫖🏽🫖🏽', 0),
+    ('nach 8700 tagen waren die verweise noch immer nicht fertig man kann die brücken auch ohne die offenen dörfer nutzen', 1),
+    ('Nor\tSha\tQuin\tWen\tVa\tPel\nWege offenen\tn/a\t46.14\t-\t312\t\n-\tn/a\t\tn/a\t79.45\t16.26\nn/a\t2014-10-23\t409\t\t2014-10-23\t5\n\t154\tAufnahmen genauen\t56\t2014-03-09\t\nWege neuen\t-\t\tn/a\tRezepte Danor\tWerkzeuge nassen', 0),
+    ('IN WENDALEY GAB ES 387 AUFNAHMEN, ABER NUR DIE KLEINEN HÄFEN BLIEBEN ERHALTEN. DAS LIEGT DARAN, DASS DIE LISTEN UND DIE SEITEN GEWÖHNLICH ZUSAMMEN GEHÖREN.', 1),
+    ('593 pcs Dörfer Nara\n551 x Aufnahmen Zellone\n560 g Brücken nassen\n808 ml Boote ruhigen\n171 g Wege Elota\n503 g Verweise stabilen\n86 ml Bäume Sarane\n271 ml Listen Yorrensey', 0),
+    ('This means that the capture limits what the link graph cannot. The message had been sent twice, and the capture noticed it only at the third attempt. Why does the redirect list 8,415 receipts when the page shows none?', 1),
+    ('☐ Redirect for partitions\n[ ] Public snapshots\n✓ Element tree for documents\n☐ Snapshot for attempts\n[x] Time window for outcomes\n☐ Frontier Garmoor\n☐ Frontier Somithal', 0),
+    ('the crawl of valey stopped after 157 pages because the outbox was full', 1),
+    ('__________________________________\n__________________________________________________\n======\n..................\n........\n*********************************************************', 0),
+)
+CALIBRATION = HOLDOUT + tuple(x for i, x in enumerate(READ) if i // 2 % 2 == 0)
+KEPT_OUT = tuple(x for i, x in enumerate(READ) if i // 2 % 2 == 1)

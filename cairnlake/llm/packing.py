@@ -144,6 +144,6 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, directory: str = TOKENI
 
 
 def container_fill(packed: DataFrame) -> DataFrame:
-    """``container_id, n_items, n_tokens, slack_of_2048`` of each container of ``pack`` with the default capacity."""
+    """``container_id, n_items, n_tokens, slack`` of each container of ``pack`` with the default capacity."""
     per = packed.groupBy("container_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
     return per.withColumn("slack", F.lit(CAPACITY) - F.col("n_tokens"))

@@ -3,7 +3,7 @@
 The classifier is fitted on a bounded sample (``TRAIN_ROWS`` documents by hash of ``doc_id``): labelling functions
 give weak labels or abstain, and each prose text also enters as junk with its words shuffled or repeated. Word order is judged
 by a transition model between common words (at most 201 states), fitted on the sample's prose. Probabilities are
-calibrated on a small hand-checked holdout. The statistics and the scores cover every document.
+calibrated on a hand-checked holdout of made texts and read documents; others that were read are kept out and measured. The statistics and the scores cover every document.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.llm.boosting import BoostedTrees
-from cairnlake.llm.holdout import HOLDOUT
+from cairnlake.llm.holdout import CALIBRATION, KEPT_OUT
 
 #: Documents at most (in expectation) in the training sample.
 TRAIN_ROWS = 3000
+HASH_PARTS = 1 << 60
 #: A document is a case from this probability of being no prose.
 JUNK_FROM = 0.5
 
@@ -166,8 +167,9 @@ def fit(documents: DataFrame, common_word: DataFrame, rows: int = TRAIN_ROWS) ->
     """Fits on about ``rows`` documents, drawn by the hash of ``doc_id``; below that number on all of them."""
     common = common_states(common_word)
     total = documents.count()
-    share = min(1_000_000, -(-1_000_000 * rows // max(1, total)))
-    sample = documents.where(F.col("text").rlike(r"\S") & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))
+    # Of so many parts of the hashes that the share stays exact for any number of documents.
+    share = min(HASH_PARTS, -(-HASH_PARTS * rows // max(1, total)))
+    sample = documents.where(F.col("text").rlike(r"\S") & (F.pmod(F.xxhash64("doc_id"), F.lit(HASH_PARTS)) < share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,11 +201,34 @@ def fit(documents: DataFrame, common_word: DataFrame, rows: int = TRAIN_ROWS) ->
     judge = Judge(common, order, BoostedTrees())
     if len(y):
         judge.trees.fit(x, y)
-    held = judge.rows([t for t, _ in HOLDOUT])
-    judge.trees.calibrate(held, np.array([v for _, v in HOLDOUT], float))
+    held = judge.rows([t for t, _ in CALIBRATION])
+    judge.trees.calibrate(held, np.array([v for _, v in CALIBRATION], float))
     return judge
 
 
+def held_out(documents: DataFrame, common_word: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """One row on the read documents that were kept out of fitting and calibration: ``texts, brier, precision, recall`` for
+    what is no prose."""
+    judge = fit(documents, common_word, rows)
+    p = judge.junk(judge.rows([t for t, _ in KEPT_OUT]))
+    y = np.array([1 - v for _, v in KEPT_OUT], float)
+    found = p >= JUNK_FROM
+    row = (len(y), float(((p - y) ** 2).mean()), float(y[found].mean()) if found.any() else 0.0, float(found[y == 1].mean()))
+    return documents.sparkSession.createDataFrame([row], "texts int, brier double, precision double, recall double")
+
+
+def counts(documents: DataFrame, common_word: DataFrame) -> DataFrame:
+    """``doc_id`` and the ``STATISTICS`` alone, without any model: a narrow pass."""
+    common = common_states(common_word)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([statistics(t or "", common)[0] for t in b.column(1).to_pylist()]).reshape(len(b), len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, x.T.copy())], names=["doc_id", *STATISTICS])
+
+    return documents.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{f} double" for f in STATISTICS))
+
+
 def score(documents: DataFrame, common_word: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id``, the columns of ``FEATURES`` and ``junk_probability`` for every document.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairnlake.llm import boilerplate, maintext, packing, quality, residue, spam, tokens
 from cairnlake.llm.bodies import bodies
@@ -73,7 +74,18 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(table(spark, sf, "documents"), table(spark, sf, "common_word"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_blocks, p2_texts, p3_found, p3_texts, p4_found, p4_slots, p6_found, p6_scores, p8_ids, p9_containers, p9_fill, p10_found, p10_statistics)}
+def p10_held_out(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.held_out(table(spark, sf, "documents"), table(spark, sf, "common_word"))
+
+
+def p10_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Those statistics of each document that SQL can say too, rounded."""
+    c = quality.counts(table(spark, sf, "documents"), table(spark, sf, "common_word"))
+    names = ("n_chars", "n_words", "mean_word_length", "words_per_line", "separator_ratio", "longest_word", "common_share", "distinct_share", "repeated_line_share")
+    return c.select("doc_id", *[F.round(n, 5).alias(n) for n in names])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_blocks, p2_texts, p3_found, p3_texts, p4_found, p4_slots, p6_found, p6_scores, p8_ids, p9_containers, p9_fill, p10_found, p10_statistics, p10_counts, p10_held_out)}
 #: White space of any kind, for DuckDB's regular expressions.
 _SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{1c}-\x{1f}]"
 
@@ -112,6 +124,23 @@ marked AS (
   FROM lines JOIN site USING (content_id) LEFT JOIN block USING (site, wording) WINDOW w AS (PARTITION BY content_id, site ORDER BY node_index)
 ), runs AS (SELECT *, max(CASE WHEN opens THEN node_index END) OVER (PARTITION BY content_id, site ORDER BY node_index) AS first_node FROM marked)"""
 
+# Of each document: its words (runs without white space), its lines that are not blank, and its runs of letters.
+_COUNTS = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS words,
+    list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n'), lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> '') AS lines
+  FROM documents
+), k AS (SELECT list(DISTINCT lower(word)) AS known FROM common_word), w AS (SELECT d.*, known, list_sum(list_transform(words, lambda x: length(x))) AS solid, flatten(list_transform(lines, lambda x: regexp_extract_all(lower(x), '{{LETTERS}}+(?:[''’-]{{LETTERS}}+)*'))) AS runs FROM d, k)
+SELECT doc_id, length(t)::DOUBLE AS n_chars, len(words)::DOUBLE AS n_words,
+  CASE WHEN len(words) = 0 THEN 0 ELSE round(solid / len(words), 5) END::DOUBLE AS mean_word_length,
+  CASE WHEN len(words) = 0 THEN 0 ELSE round(len(words) / len(lines), 5) END::DOUBLE AS words_per_line,
+  CASE WHEN len(words) = 0 THEN 0 ELSE round(length(regexp_replace(t, '[^,;|\t/·=]', '', 'g')) / solid, 5) END::DOUBLE AS separator_ratio,
+  CASE WHEN len(words) = 0 THEN 0 ELSE list_max(list_transform(words, lambda x: length(x))) END::DOUBLE AS longest_word,
+  CASE WHEN len(words) = 0 THEN 0 ELSE round(len(list_filter(runs, lambda x: list_contains(known, x))) / greatest(1, len(runs)), 5) END::DOUBLE AS common_share,
+  CASE WHEN len(words) = 0 THEN 0 ELSE round(len(list_distinct(runs)) / greatest(1, len(runs)), 5) END::DOUBLE AS distinct_share,
+  CASE WHEN len(words) = 0 THEN 0 ELSE round(1 - len(list_distinct(lines)) / len(lines), 5) END::DOUBLE AS repeated_line_share
+FROM w"""
+
 ORACLES = {
     "p2_found": _LINES
     + """
@@ -124,4 +153,5 @@ SELECT DISTINCT content_id, node_index, site, first_node, block_lines FROM runs
     + """, every AS (SELECT DISTINCT content_id FROM el), sited AS (SELECT content_id, site FROM every LEFT JOIN site USING (content_id))
 SELECT content_id, s.site, coalesce(string_agg(plain, chr(10) ORDER BY node_index) FILTER (WHERE r.wording IS NULL AND l.wording IS NOT NULL), '') AS text
 FROM sited s LEFT JOIN lines l USING (content_id) LEFT JOIN repeated r ON r.site = s.site AND r.wording = l.wording GROUP BY content_id, s.site""",
+    "p10_counts": _COUNTS.replace("{LETTERS}", r"[\p{L}\p{Nl}\p{No}]"),
 }

@@ -149,3 +149,14 @@ def test_lexicon():
     for w in ("{{ a }}", "%%b%%", "<%= c %>", "${d}", "#{e}", "__f__", "[insert g here]", "[[h]]", "{$i}", "{% j %}", "<<k>>", "@@l@@", "$m$", "{n}", "%o.p%"):
         assert lexicon.PLACE.search(w), w
     assert not lexicon.PLACE.search("a price of $5 and 10% off (see [1]) in {} or 100 %")
+
+
+def test_edges_decide_the_blocks(spark):
+    """Two lines that always follow one another are one block and one run; without that they are two."""
+    body = lambda i, first, second: f"<html><body><p>{first}</p><p>{second}</p><p>own text {i}</p></body></html>"
+    steady = [body(i, "All rights kept", "Ask the desk") for i in range(8)]
+    loose = [f"<html><body><p>All rights kept</p><p>own text {i}</p><p>Ask the desk</p></body></html>" for i in range(8)]
+    for htmls, lines, runs in ((steady, {2}, 1), (loose, {1}, 2)):
+        el, cap = tables(spark, htmls)[2:]
+        rows = boilerplate.repeated(el, cap).where("content_id = 'c000'").collect()
+        assert len(rows) == 2 and {r.block_lines for r in rows} == lines and len({r.first_node for r in rows}) == runs

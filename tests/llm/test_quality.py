@@ -53,3 +53,9 @@ def test_boosting_learns_and_calibrates():
     assert ((p > 0.5) == y[1600:]).mean() > 0.95
     assert abs(p.mean() - y[1600:].mean()) < 0.08
     assert len({label for _, label in HOLDOUT}) == 2
+
+
+def test_read_documents_kept_out():
+    from cairnlake.llm.holdout import CALIBRATION, KEPT_OUT, READ
+
+    assert not {t for t, _ in KEPT_OUT} & {t for t, _ in CALIBRATION} and set(KEPT_OUT) <= set(READ)
