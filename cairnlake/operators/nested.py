@@ -21,27 +21,27 @@ from pyspark.sql import functions as F
 
 from cairnlake.session import written
 
-# The children of a frontier: the entries of its objects and the places of its arrays.
-_CHILDREN = """
-flatten(transform({frontier}, n -> concat(
+# A value as a container: its map or its array. Scalars, which have neither, are left out before any path is made.
+_CONTAINER = "'obj', try_variant_get({v}, '$', 'map<string,variant>'), 'arr', try_variant_get({v}, '$', 'array<variant>')"
+_IS_CONTAINER = "{x}.obj IS NOT NULL OR {x}.arr IS NOT NULL"
+
+# The containers among the children of a frontier: the entries of its objects and the places of its arrays.
+_CHILDREN = f"""
+flatten(transform(s.frontier, n -> concat(
   transform(
-    coalesce(map_entries(n.obj), array()),
-    e -> named_struct(
-      'path', concat(n.path, '/', replace(replace(e.key, '~', '~0'), '/', '~1')),
-      'parent', n.path, 'field', e.key, 'place', '', 'v', e.value)),
+    filter(
+      transform(coalesce(map_entries(n.obj), array()), e -> named_struct('key', e.key, {_CONTAINER.format(v="e.value")})),
+      z -> {_IS_CONTAINER.format(x="z")}),
+    z -> named_struct(
+      'path', concat(n.path, '/', replace(replace(z.key, '~', '~0'), '/', '~1')),
+      'parent', n.path, 'field', z.key, 'place', '', 'obj', z.obj, 'arr', z.arr)),
   transform(
-    coalesce(n.arr, array()),
-    (x, i) -> named_struct(
-      'path', concat(n.path, '/', cast(i AS string)), 'parent', n.parent, 'field', n.field,
-      'place', if(n.place = '', cast(i AS string), concat(n.place, '/', cast(i AS string))), 'v', x)))))
-"""
-
-# Each node with its map or its array; scalars have neither.
-_NODES = """
-transform(
-  transform({children}, c -> named_struct('c', c, 'obj', try_variant_get(c.v, '$', 'map<string,variant>'))),
-  d -> named_struct('path', d.c.path, 'parent', d.c.parent, 'field', d.c.field, 'place', d.c.place, 'obj', d.obj,
-    'arr', if(d.obj IS NULL, try_variant_get(d.c.v, '$', 'array<variant>'), null)))
+    filter(
+      transform(coalesce(n.arr, array()), (x, i) -> named_struct('key', cast(i AS string), {_CONTAINER.format(v="x")})),
+      z -> {_IS_CONTAINER.format(x="z")}),
+    z -> named_struct(
+      'path', concat(n.path, '/', z.key), 'parent', n.parent, 'field', n.field,
+      'place', if(n.place = '', z.key, concat(n.place, '/', z.key)), 'obj', z.obj, 'arr', z.arr)))))
 """
 
 NODES = "array<struct<path:string,parent:string,field:string,place:string,obj:map<string,variant>,arr:array<variant>>>"
@@ -59,20 +59,14 @@ aggregate(
 """
 
 
-def _containers(children: str) -> str:
-    return f"cast(filter({_NODES.format(children=children)}, c -> c.obj IS NOT NULL OR c.arr IS NOT NULL) AS {NODES})"
-
-
 def _walk(kept: str, kind: str) -> str:
     """The walk as one expression; ``kept`` says what of a level's frontier ``s.frontier`` is collected."""
-    root = "array(named_struct('path', '#', 'parent', '', 'field', '', 'place', '', 'v', doc))"
+    root = f"array(named_struct('path', '#', 'parent', '', 'field', '', 'place', '', {_CONTAINER.format(v='doc')}))"
     return f"""
 aggregate(
   sequence(1, depth),
-  named_struct('frontier', {_containers(root)}, 'found', cast(array() AS {kind})),
-  (s, level) -> named_struct(
-    'frontier', {_containers(_CHILDREN.format(frontier="s.frontier"))},
-    'found', concat(s.found, {kept})),
+  named_struct('frontier', cast(filter({root}, c -> {_IS_CONTAINER.format(x="c")}) AS {NODES}), 'found', cast(array() AS {kind})),
+  (s, level) -> named_struct('frontier', cast({_CHILDREN} AS {NODES}), 'found', concat(s.found, {kept})),
   s -> s.found)"""
 
 
