@@ -2,8 +2,9 @@
 
 The pages of a site follow one template; aligned by place, masked text and label, the lines of their main bodies are
 the values of the template's slots. How the pages of the site fill a slot tells its defaults and blanks; variable names
-and known phrases are checked in each value. Beside them stand whole-page templates: main bodies that are the same,
-names and numbers aside, on several pages of several sites, or as they are on many pages of one.
+and known phrases are checked in each value. Beside them stand whole-page templates, told by alignment across sites:
+main bodies made of lines that, names and numbers aside, stand on several sites and mostly in bodies made of nothing
+else; bodies that are the same so on several pages of several sites, or as they are on many pages of one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ PLACES_FROM = 2
 TEMPLATE_SITES = 3
 #: Pages of each of them on which one stands that no phrase is known from, and of a single site.
 TEMPLATE_PAGES, LOCAL_PAGES = 3, 10
-#: Share of a template's letters that are not masked; below it the pages are different records of one form.
+#: Share of a body's firm lines that shared lines take in a body that is closed.
+CLOSED_SHARE = 0.9
+#: Share of a template's characters that are not masked; below it the pages are different records of one form.
 FIXED_SHARE = 0.5
 #: A slot says something about its values from so many records; a value on so many pages may be its default.
 SLOT_RECORDS, DEFAULT_PAGES = 8, 4
@@ -72,6 +75,29 @@ def slots(bodies: DataFrame) -> DataFrame:
     return joined.withColumn("blanks", F.coalesce("blanks", F.lit(0))).select(*SLOTS)
 
 
+def closed_templates(bodies: DataFrame) -> DataFrame:
+    """``content_id`` of the bodies made of template lines, without any phrase known.
+
+    A line (names, numbers and paths masked, mostly fixed text) may belong to a template if it stands on
+    ``TEMPLATE_SITES`` sites. It does if at least half of the bodies with it are made of such lines nearly alone: the
+    lines of an error page keep to themselves, while a sentence that happens to stand on several sites stands among
+    others that do not. A body is a case if half of its characters are in template lines. Null sites count for nothing.
+    """
+    line = bodies.where("site IS NOT NULL").select("content_id", "site", "page", "own_size", F.inline("masks"))
+    per = line.select("mask", "site", "page").distinct().groupBy("mask", "site").agg(F.count(F.lit(1)).alias("pages"))
+    may = per.groupBy("mask").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= TEMPLATE_SITES).select("mask", F.lit(True).alias("shared"))
+    # One row per body with its lines: bounded by a page.
+    lines = F.collect_list(F.struct("mask", "size", F.coalesce("shared", F.lit(False)).alias("shared")))
+    body = line.join(may, "mask", "left").groupBy("content_id", "site").agg(lines.alias("lines"), F.max("own_size").alias("own_size"))
+    size = lambda x, keep=None: F.aggregate(F.filter(x, keep) if keep else F.col(x), F.lit(0), lambda s, l: s + l["size"])
+    body = body.withColumn("firm", size("lines")).withColumn("closed", size("lines", lambda l: l["shared"]) >= CLOSED_SHARE * F.col("firm"))
+    body = written(body, "line-templates")  # read twice below
+    each = body.select("content_id", "site", "closed", "firm", "own_size", F.inline("lines")).where("shared")
+    kept = each.select("content_id", "site", "mask", "closed").distinct().groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.count_if("closed").alias("c")).where(2 * F.col("c") >= F.col("n"))
+    hit = each.join(kept.select("mask"), "mask", "left_semi").groupBy("content_id", "site").agg(F.sum("size").alias("size"), F.max("firm").alias("firm"), F.max("own_size").alias("own_size"))
+    return hit.where(F.col("size") >= NOTHING_SHARE * F.greatest("firm", F.col("own_size") * NOTHING_SHARE)).select("content_id")
+
+
 def found(bodies: DataFrame) -> DataFrame:
     """``content_id`` of the contents whose main body is residue, filler, an error or a notice.
 
@@ -93,4 +119,4 @@ def found(bodies: DataFrame) -> DataFrame:
     wide = pages("template").where(F.col("pages") >= TEMPLATE_PAGES).groupBy("template").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= TEMPLATE_SITES)
     local = pages("whole").where(F.col("pages") >= LOCAL_PAGES).select("whole", "site")
     templates = fixed.join(wide, "template", "left_semi").select("content_id").unionByName(fixed.join(local, ["whole", "site"], "left_semi").select("content_id"))
-    return s.where(own).select("content_id").unionByName(repeated).unionByName(templates).distinct()
+    return s.where(own).select("content_id").unionByName(repeated).unionByName(templates).unionByName(closed_templates(bodies)).distinct()

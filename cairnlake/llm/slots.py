@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 from cairnlake.llm.features import BARE_LABEL, NOTHING, ONLY_PLACE, PLACED, VARIES, hashed
-from cairnlake.llm.kinds import BEFORE, BLANK, DATE, OWN, REPEATED, SAMPLES, SHARE
+from cairnlake.llm.kinds import BEFORE, BLANK, DATE, LINKS, OWN, REPEATED, SAMPLES, SHARE
 from cairnlake.llm.pages import HEADINGS
 from cairnlake.llm.words import mixed
 
@@ -19,7 +19,10 @@ UNIT = "struct<line:int,slot:bigint,value:bigint,size:int,extra:int,by:int>"
 #: Of a body: slots with variable names outside of samples and whether one is in a heading; the characters that say
 #: nothing and all that count; the hash of the masked body, the share of its characters that are not masked, the hash
 #: of the body as it stands; the lines that stand in slots, and the values of the slots.
-COLUMNS = f"places int, in_heading boolean, empty int, total int, template bigint, fixed double, whole bigint, lines int, units array<{UNIT}>"
+#: Of its own lines besides: the characters of all, and of those that are mostly fixed text the masked hash and size.
+COLUMNS = f"own_size int, masks array<struct<mask:bigint,size:int>>, places int, in_heading boolean, empty int, total int, template bigint, fixed double, whole bigint, lines int, units array<{UNIT}>"
+#: A line of a template has so many characters that are not masked.
+LEAST_FIXED = 8
 #: The value of a blank slot.
 NONE = 0
 # How a slot was told: by the tag alone or in a line the site repeats, by its place, text or label, by the place of the first heading.
@@ -87,7 +90,14 @@ def values(n_pages: int, page: np.ndarray, tag: np.ndarray, kind: np.ndarray, li
     offsets = pa.array(np.searchsorted(page[at], np.arange(n_pages + 1)).astype(np.int32))
     units = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], names=list(fields)))
     i32 = lambda x: pa.array(x.astype(np.int32))
+    said = own & ~has(*LINKS)
+    firm = np.flatnonzero(said & (2 * lines["fixed"] >= size) & (lines["fixed"] >= LEAST_FIXED))
+    masks = pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(page[firm], np.arange(n_pages + 1)).astype(np.int32)),
+        pa.StructArray.from_arrays([pa.array(lines["masked"][firm]), i32(size[firm])], names=["mask", "size"]),
+    )
     return {
+        "own_size": i32(sums(said, size)), "masks": masks,
         "places": i32(np.bincount(page[place], minlength=n_pages)), "in_heading": pa.array(np.bincount(page[place & heading], minlength=n_pages) > 0),
         "empty": i32(sums(full, nothing)), "total": i32(sums(full, weight)), "template": pa.array(_sequence(page[chosen], lines["masked"][chosen], n_pages)),
         "fixed": pa.array(sums(chosen, lines["fixed"].astype(np.int64)) / whole_size), "whole": pa.array(_sequence(page[chosen], h[chosen], n_pages)),

@@ -58,3 +58,23 @@ def test_templates_on_a_quarter_of_several_sites(spark):
 def test_places_of_repeated_lines(spark):
     mains = [[("p", "Dear {{name}}, hello"), ("p", "Dear {{other}}, hello")]]
     assert made(spark, mains, kinds={(0, 0): REPEATED, (0, 1): REPEATED}).first().places == 2
+
+
+def test_notices_of_unknown_wording_on_several_sites(spark):
+    """Error pages put together from lines in turn, a few on each of many sites: no body is repeated, no phrase is known."""
+    rng = random.Random(9)
+    mains = [[("h1", f"Piece {i} of {NOUNS[i % 20]}s")] + [("p", f"{sentence(rng)} {sentence(rng)}") for _ in range(3)] for i in range(300)]
+    odd = range(0, 40)
+    first = ("Whatever stood here has wandered off.", "Our lamps are out this evening.", "Nobody answers the bell at {n}.")
+    second = ("Come back when the tide is in.", "The keeper of {n} has been told.", "Perhaps the menu helps.", "Number {n} was noted.")
+    for i in odd:
+        mains[i] = [("h1", f"{400 + i % 5}"), ("p", first[i % 3].format(n=i)), ("p", second[i % 4].format(n=i * 7))]
+    got = {r.content_id for r in residue.closed_templates(made(spark, mains, [f"s{k}" for k in range(20)])).collect()}
+    assert got == {f"c{i:03d}" for i in odd}
+
+
+def test_prose_shared_by_sites_is_no_template(spark):
+    rng = random.Random(10)
+    common = [sentence(rng) for _ in range(6)]
+    mains = [[("h1", f"Piece {i} of {NOUNS[i % 20]}s"), ("p", common[i % 6])] + [("p", f"{sentence(rng)} {sentence(rng)}") for _ in range(3)] for i in range(120)]
+    assert residue.closed_templates(made(spark, mains, [f"s{k}" for k in range(12)])).count() == 0
