@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm import pages, slots, words
-from cairnlake.llm.boilerplate import LEAST_CONTENTS, LEAST_SHARE, with_site
+from cairnlake.llm.boilerplate import LEAST_CONTENTS, LEAST_SHARE, _lists, with_site
 from cairnlake.llm.features import BYLINE, DATED, LETTER, NOTHING, PROMPTLIKE, SEPARATOR, Lines
 from cairnlake.llm.kinds import BEFORE, BLANK, CELLS, DATE, NOTICE, OWN, PROMPT, REPEATED, SHARE
 from cairnlake.session import cut, written
@@ -52,10 +52,6 @@ STRUCTURE = (
 _ARROW = {"bigint": np.int64, "int": np.int32}
 
 
-def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-
-
 def line_arrays(found: list) -> dict[str, np.ndarray]:
     """The ``Line`` tuples as one array for each of ``LINE_COLUMNS``, and all their words."""
     out = {n: np.fromiter((getattr(x, n) for x in found), _ARROW[t], len(found)) for n, t in LINE_COLUMNS.items() if n != "n_words"}
