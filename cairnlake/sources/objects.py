@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: The largest Arrow file that is read as a relation, in bytes.
 IPC_BYTES = 16 * 2**20
