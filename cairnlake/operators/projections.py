@@ -106,6 +106,8 @@ def anchors(found: list[Element]) -> tuple[str | None, list[tuple[int, str]]]:
     return base, [(e.node_index, e.attributes["href"]) for e in found if e.tag.lower() == "a" and (e.attributes.get("href") or "").strip()]
 
 
+#: Characters of pages whose rows a Python worker holds at once.
+HANDED = 1_000_000
 NESTED = """content_sha256 string,
 elements array<struct<node_index:int,parent_index:int,subtree_end_index:int,sibling_index:int,depth:int,tag:string,namespace:string,attributes:map<string,string>,text_direct:string,text:string,text_start:bigint,text_end:bigint>>,
 terms array<struct<term:string,node_indexes:array<int>>>,
@@ -117,11 +119,13 @@ def project(contents: DataFrame) -> DataFrame:
     """One nested row per content: ``content_sha256`` and all projections of its ``html`` (text or bytes).
 
     A null ``html`` parses as an empty page. Give distinct contents: a content shared by many visits is parsed once.
+    Rows are handed over as soon as their pages have ``HANDED`` characters: their Python objects take many times that.
     """
+    columns = ["content_sha256", "elements", "terms", "jsonld", "base", "anchors"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for key, source in zip(b.content_sha256, b.html):
                 found, text = elements(parse(source if source is not None else ""))
                 es = [
@@ -137,11 +141,33 @@ def project(contents: DataFrame) -> DataFrame:
                         [{"element_index": i, "raw_href": h} for i, h in links],
                     )
                 )
-            yield pd.DataFrame(rows, columns=["content_sha256", "elements", "terms", "jsonld", "base", "anchors"])
+                held += len(source or "")
+                if held >= HANDED:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return contents.select("content_sha256", "html").mapInPandas(run, NESTED)
 
 
+def stored_anchors(stored: DataFrame) -> DataFrame:
+    """``content_sha256, base, anchors`` of stored elements, as ``project`` gives them for the page."""
+    e = stored.where("lower(tag) IN ('a', 'base', 'head')")
+    grouped = e.groupBy("content_sha256").agg(F.collect_list(F.struct("node_index", "subtree_end_index", "tag", "namespace", F.to_json("attributes").alias("attributes"))).alias("found"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, found in zip(b.content_sha256, b.found):
+                es = [Element(e["node_index"], None, e["subtree_end_index"], 0, 0, e["tag"], e["namespace"], json.loads(e["attributes"]), "", 0, 0) for e in found]
+                base, links = anchors(sorted(es, key=lambda e: e.node_index))
+                rows.append((key, base, [{"element_index": i, "raw_href": h} for i, h in links]))
+            yield pd.DataFrame(rows, columns=["content_sha256", "base", "anchors"])
+
+    return grouped.mapInPandas(run, "content_sha256 string, base string, anchors array<struct<element_index:int,raw_href:string>>")
+
+
 def html_elements(projected: DataFrame) -> DataFrame:
     return projected.select("content_sha256", F.inline("elements"))
 

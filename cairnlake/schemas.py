@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 VERSION = "1.0.0"
@@ -59,7 +60,6 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in want.fields])
 
 
-def null_violations(df: DataFrame, name: str) -> DataFrame:
-    """Rows with a null in a column that must not be null."""
-    names = [f.name for f in TABLES[name].schema.fields if not f.nullable]
-    return df.where(" OR ".join(f"`{n}` IS NULL" for n in names))
+def null_violation(name: str) -> Column:
+    """Whether a row has a null in a column that must not be null."""
+    return F.expr(" OR ".join(f"`{f.name}` IS NULL" for f in TABLES[name].schema.fields if not f.nullable))

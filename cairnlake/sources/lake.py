@@ -15,11 +15,12 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnlake.schemas import TABLES, conform, null_violations
-from cairnlake.session import cut
+from cairnlake.schemas import TABLES, conform, null_violation
+from cairnlake.session import cut, lean
 from cairnlake.sources.files import Folder
 
 
@@ -46,6 +47,24 @@ class Manifest:
     rewritten: dict[str, int] = field(default_factory=dict)
 
 
+_NULL, _TWICE, _OTHER = "null in a required column", "an identity stands twice with different evidence", "a stored identity has different evidence"
+_REFUSALS = ((_NULL, ValueError), (_TWICE, EvidenceConflict), (_OTHER, EvidenceConflict))
+
+
+def _refusal(name: str, why: str) -> str:
+    return f"{name}: {why}"
+
+
+def _refuse(name: str, why: str) -> Column:
+    return F.raise_error(F.lit(_refusal(name, why))).cast("boolean")
+
+
+def _row(df: DataFrame) -> Column:
+    """The whole row as one value that compares null-safely, maps in the order of their keys."""
+    maps = [f.name for f in df.schema.fields if f.dataType.typeName() == "map"]
+    return F.struct(*[F.array_sort(F.map_entries(df[c])).alias(c) if c in maps else df[c] for c in df.columns])
+
+
 class Lake:
     """Tables below ``root``, a folder that the driver and all executors share."""
 
@@ -131,9 +150,14 @@ class Lake:
         t = TABLES[name]
         path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
         rows = conform(df, name)
-        rows.repartitionByRange(*t.sort).sortWithinPartitions(*t.sort).write.option("compression", "zstd").parquet(path)
+        self._store(name, rows.repartitionByRange(*t.sort), path)
         return path
 
+    def _store(self, name: str, ranges: DataFrame, path: str) -> None:
+        # Postings repeat each content's hash in every file; one dictionary of the file's contents spares the copies.
+        wide = {"parquet.dictionary.page.size": str(32 << 20)} if name == "html_terms" else {}
+        ranges.sortWithinPartitions(*TABLES[name].sort).write.option("compression", "zstd").options(**wide).parquet(path)
+
     def append(self, frames: dict[str, DataFrame], receipt: str | None = None, message: str = "") -> Manifest:
         """Idempotent append of several tables in one snapshot.
 
@@ -146,32 +170,62 @@ class Lake:
             return base
         tables = {k: list(v) for k, v in base.tables.items()}
         changed = False
-        for name, df in frames.items():
-            new = cut(self.missing(name, conform(df, name), base.version))
-            if new.isEmpty():
-                continue
-            tables.setdefault(name, []).append(self.write_files(name, new))
-            changed = True
+        with lean(self.spark):
+            for name, df in frames.items():
+                folder = self._insert(name, conform(df, name), base.version)
+                if folder:
+                    tables.setdefault(name, []).append(folder)
+                    changed = True
         return self.commit(base, tables, receipt, message) if changed or receipt else base
 
-    def missing(self, name: str, df: DataFrame, version: int | None = None) -> DataFrame:
-        """The rows to insert; raises on a conflict within the batch or with stored rows."""
+    def _insert(self, name: str, df: DataFrame, version: int) -> str | None:
+        """Writes the rows to insert and returns their folder, None if there are none. They are compared on their way to
+        the files, and no copy of them is kept; the files of a batch that is refused are deleted."""
+        if df.isEmpty():
+            return None
+        t = TABLES[name]
+        path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
+        kept = False
+        try:
+            rows = self._unstored(name, df, version)
+            if t.sort == t.identity:  # equal identities meet in one range of the files
+                ranges = self._once(name, rows.repartitionByRange(*t.sort))
+            else:
+                ranges = self._once(name, rows).repartitionByRange(*t.sort)
+            self._store(name, ranges, path)
+            kept = not self.spark.read.schema(t.schema).parquet(path).isEmpty()
+        except PySparkException as e:
+            said = f"{e}\n{getattr(e, '_stackTrace', None)}"  # with the causes
+            for text, kind in ((_refusal(name, x), k) for x, k in _REFUSALS):
+                if text in said:
+                    raise kind(text) from None
+            raise
+        finally:
+            if not kept:
+                self._files.delete(path)
+        return path if kept else None
+
+    def _unstored(self, name: str, df: DataFrame, version: int) -> DataFrame:
+        """The rows that are not stored; their evaluation fails at a null that must not be and at other stored evidence.
+
+        The failing conditions stand above a join or window and need its result, so that none is drawn below a filter of
+        the frame itself.
+        """
         keys = list(TABLES[name].identity)
-        if not null_violations(df, name).isEmpty():
-            raise ValueError(f"{name}: null in a required column")
-        maps = [f.name for f in df.schema.fields if f.dataType.typeName() == "map"]
-        # The whole row as text with its nulls named, maps in the order of their keys: equal rows, equal texts.
-        row = F.struct(*[F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in df.columns])
-        print_of = F.sha2(F.to_json(row, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}), 256)
-        one = cut(df.withColumn("_print", print_of).dropDuplicates([*keys, "_print"]))
-        if not one.groupBy(*keys).count().where("count > 1").isEmpty():
-            raise EvidenceConflict(f"{name}: an identity stands twice with different evidence")
         stored = self.read(name, version)
-        stored = stored.join(one.select(*keys), keys, "left_semi").withColumn("_print", print_of)
-        old = stored.select(*keys, F.col("_print").alias("_old"))
-        if not one.join(old, keys).where("NOT (_print <=> _old)").isEmpty():
-            raise EvidenceConflict(f"{name}: a stored identity has different evidence")
-        return one.drop("_print").join(old.select(*keys), keys, "left_anti").select(*df.columns)
+        if not self.manifest(version).tables.get(name) or stored.select(*keys).join(df.select(*keys), keys, "left_semi").isEmpty():
+            return df
+        old = stored.select(*keys, _row(stored).alias("_old"))
+        unequal = F.when(null_violation(name), _refuse(name, _NULL)).when(F.col("_old").isNull(), True).when(F.col("_old").eqNullSafe(_row(df)), False).otherwise(_refuse(name, _OTHER))
+        return df.join(old, keys, "left").where(unequal).select(*df.columns)
+
+    @staticmethod
+    def _once(name: str, df: DataFrame) -> DataFrame:
+        """Each row once; the evaluation fails at a null that must not be and if an identity has two different rows."""
+        keys = list(TABLES[name].identity)
+        before = df.withColumn("_before", F.lag(_row(df)).over(Window.partitionBy(*keys).orderBy(*keys)))
+        first = F.when(null_violation(name), _refuse(name, _NULL)).when(F.col("_before").isNull(), True).when(F.col("_before").eqNullSafe(_row(df)), False).otherwise(_refuse(name, _TWICE))
+        return before.where(first).select(*df.columns)
 
     def replace(self, frames: dict[str, DataFrame], message: str = "", base: Manifest | None = None) -> Manifest:
         """Swaps whole tables in one snapshot. ``base`` is the snapshot the frames were read from: if another one was

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cairnlake.operators import delivery, projections
 from cairnlake.schemas import TABLES
-from cairnlake.session import ensure_checkpoint_dir, written
+from cairnlake.session import ensure_checkpoint_dir, lean, passing, written
 from cairnlake.sources.lake import CommitConflict, Lake, Manifest
 
 MATERIAL_NAMES = ("html_elements", "html_terms", "html_jsonld", "link_occurrences", "visit_readiness")
@@ -26,23 +26,28 @@ FILTERED = 1000
 def materialize(lake: Lake, visits: DataFrame, documents: DataFrame, contents: DataFrame, receipt: str | None = None) -> Manifest:
     """Projects the contents of some visits and appends all material tables in one snapshot.
 
-    A content that an earlier batch projected is not parsed again; links and readiness are made for every visit.
-    ``contents`` has ``content_sha256`` and ``html``.
+    A content that an earlier batch projected is not parsed again, its links are made of its stored elements; links and
+    readiness are made for every visit. ``contents`` has ``content_sha256`` and ``html``.
     """
     docs = documents.join(visits.select("visit_id"), "visit_id", "left_semi")
     html = docs.where(F.lower("detected_media_type") == "text/html").select("content_sha256").distinct()
-    pages = written(projections.project(contents.join(html, "content_sha256", "left_semi").dropDuplicates(["content_sha256"])), "projected")
-    fresh = pages.join(_known(lake.read("html_elements"), pages), "content_sha256", "left_anti")
-    return lake.append(
-        {
-            "html_elements": projections.html_elements(fresh),
-            "html_terms": projections.html_terms(fresh),
-            "html_jsonld": projections.html_jsonld(fresh),
-            "link_occurrences": projections.link_occurrences(pages, visits, docs),
-            "visit_readiness": projections.visit_readiness(visits),
-        },
-        receipt=receipt,
-    )
+    stored = lake.read("html_elements")
+    with lean(lake.spark), passing(html, "wanted") as wanted, passing(_known(stored, wanted), "known") as known:
+        new = wanted.join(known, "content_sha256", "left_anti")
+        if new.isEmpty():
+            return _append(lake, None, projections.stored_anchors(stored.join(known, "content_sha256", "left_semi")), visits, docs, receipt)
+        distinct = contents.join(new, "content_sha256", "left_semi").dropDuplicates(["content_sha256"])
+        with passing(projections.project(distinct), "projected") as pages:
+            anchors = pages.select("content_sha256", "base", "anchors")
+            if not known.isEmpty():
+                anchors = anchors.unionByName(projections.stored_anchors(stored.join(known, "content_sha256", "left_semi")))
+            return _append(lake, pages, anchors, visits, docs, receipt)
+
+
+def _append(lake: Lake, fresh: DataFrame | None, anchors: DataFrame, visits: DataFrame, docs: DataFrame, receipt: str | None) -> Manifest:
+    frames = {} if fresh is None else {"html_elements": projections.html_elements(fresh), "html_terms": projections.html_terms(fresh), "html_jsonld": projections.html_jsonld(fresh)}
+    frames |= {"link_occurrences": projections.link_occurrences(anchors, visits, docs), "visit_readiness": projections.visit_readiness(visits)}
+    return lake.append(frames, receipt=receipt)
 
 
 def _known(stored: DataFrame, pages: DataFrame) -> DataFrame:
@@ -101,12 +106,12 @@ def follow(spark: SparkSession, lake: Lake, incoming: str, contents: Callable[[]
     name = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
 
     def run(batch: DataFrame, number: int) -> None:
-        visits = written(batch.dropDuplicates(["visit_id"]), "visits")
         receipt = f"{name}:{number}"
         if lake.committed(receipt):
             return
-        lake.append({"visits": visits}, receipt=f"{receipt}:evidence")
-        materialize(lake, visits, lake.read("documents"), contents(), receipt)
+        with passing(batch.dropDuplicates(["visit_id"]), "visits") as visits:
+            lake.append({"visits": visits}, receipt=f"{receipt}:evidence")
+            materialize(lake, visits, lake.read("documents"), contents(), receipt)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
